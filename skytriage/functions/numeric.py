@@ -57,34 +57,27 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - lowered
 
 
+def _cube_root_quantile(shape: Column, prob: float) -> Column:
+    z = Z_95 if prob > 0.5 else -Z_95
+    return shape * F.pow(1 - 1 / (9 * shape) + z / (3 * F.sqrt(shape)), F.lit(3))
+
+
 def _gamma_quantile(shape: Column, prob: float) -> Column:
-    """x with P(shape, x) = prob, as a Wilson-Hilferty start polished by Halley steps.
+    """x with P(shape, x) = prob: a cube-root start polished by Halley steps.
 
-    P is evaluated with the lower series for x < shape + 1 and with a continued
-    fraction above; both folds are fixed length in the array and stop changing early.
+    P comes from its power series. The terms fall off once their index passes a few
+    standard deviations, so their number follows the square root of the shape.
     """
     ln_norm = _log_gamma(shape)
+    terms = F.sequence(F.lit(1), (60 + 14 * F.sqrt(shape)).cast("int"))
 
     def lower_tail(x: Column) -> Column:
-        n_terms = 400
-        front = F.exp(-x + shape * F.log(x) - ln_norm)
-        acc0 = F.struct((1 / shape).alias("term"), (1 / shape).alias("total"))
-        series = F.aggregate(
-            F.sequence(F.lit(1), F.lit(n_terms)), acc0,
-            lambda a, i: F.struct(
-                (a["term"] * x / (shape + i.cast("double"))).alias("term"),
-                (a["total"] + a["term"] * x / (shape + i.cast("double"))).alias("total")),
-            lambda a: a["total"])
-        frac = F.aggregate(
-            F.sequence(F.lit(n_terms), F.lit(1), F.lit(-1)), F.lit(0.0),
-            lambda a, i: (i.cast("double") * (i.cast("double") - shape))
-            / (x + 2 * i.cast("double") + 1 - shape - a))
-        upper = front / (x + 1 - shape - frac)
-        return F.when(x < shape + 1, front * series).otherwise(1 - upper)
+        def add(acc: Column, i: Column) -> Column:
+            term = acc["term"] * x / (shape + i.cast("double"))
+            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    z = Z_95 if prob > 0.5 else -Z_95
-    start = shape * F.pow(1 - 1 / (9 * shape) + z / (3 * F.sqrt(shape)), F.lit(3))
-    start = F.greatest(start, F.lit(1e-3))
+        first = F.struct((1 / shape).alias("term"), (1 / shape).alias("total"))
+        return F.exp(-x + shape * F.log(x) - ln_norm) * F.aggregate(terms, first, add, lambda a: a["total"])
 
     def polish(x: Column, _i: Column) -> Column:
         density = F.exp((shape - 1) * F.log(x) - x - ln_norm)
@@ -92,24 +85,22 @@ def _gamma_quantile(shape: Column, prob: float) -> Column:
         step = err / (1 - F.least(F.lit(1.0), err * ((shape - 1) / x - 1)) / 2)
         return F.greatest(x - step, x / 2)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, polish)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.greatest(_cube_root_quantile(shape, prob), F.lit(1e-3)), polish)
 
 
 def poisson_interval(count: Column) -> Column:
     """Exact 95% (Garwood) interval on a Poisson count as ``struct(low, high)``.
 
     The chi-square quantile with 2k degrees of freedom is twice the gamma quantile of
-    shape k, so the bounds are gamma quantiles of shape n and n + 1. Above 100 000
-    events the cube-root (Wilson-Hilferty) form is exact to well under one event in
-    10^4 and is returned without polishing.
+    shape k, so the bounds are gamma quantiles of shape n and n + 1. Above a million
+    events the cube-root form alone is accurate to far less than one event and is
+    returned without polishing.
     """
     n = count.cast("double")
 
     def bound(shape: Column, prob: float) -> Column:
-        z = Z_95 if prob > 0.5 else -Z_95
         safe = F.greatest(shape, F.lit(1.0))
-        approx = safe * F.pow(1 - 1 / (9 * safe) + z / (3 * F.sqrt(safe)), F.lit(3))
-        return F.when(safe > 100_000, approx).otherwise(_gamma_quantile(safe, prob))
+        return F.when(safe > 1_000_000, _cube_root_quantile(safe, prob)).otherwise(_gamma_quantile(safe, prob))
 
     low = F.when(count == 0, F.lit(0.0)).otherwise(bound(n, 0.025))
     high = bound(n + 1, 0.975)

@@ -2,7 +2,7 @@
 
 import importlib
 
-_FAMILIES = ("geometry", "scoring")
+_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled")
 
 
 def load_all() -> None:
