@@ -10,11 +10,28 @@ from skytriage.constants import Z_95
 
 
 def round_py(value: Column, digits: int) -> Column:
-    """Round to ``digits`` decimals, ties to even on the decimal text of the value.
+    """Round the exact binary value to ``digits`` decimals, true ties to even.
 
-    Differs from exact-binary rounding only for values that print as a tie.
+    Spark rounds the decimal text instead, which turns 2.675 into 2.68 although the
+    number stored is below the tie. Here the value is split into two parts short enough
+    that scaling each is exact, so a product that looks like a tie is decided by the sign
+    of what rounding the product lost. Good for up to 5 digits.
     """
-    return F.bround(value, digits)
+    scale = F.lit(float(10**digits))
+    mag = F.abs(value)
+    head = mag.cast("float").cast("double")
+    product = mag * scale
+    lost = (head * scale - product) + (mag - head) * scale
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    rounded = (whole + up.cast("int")) / scale
+    return F.when(mag < 1e12, F.signum(value) * rounded).otherwise(value)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text with ``digits`` places, rounded like :func:`round_py`."""
+    return F.format_string(f"%.{digits}f", round_py(value, digits))
 
 
 def wilson(successes: Column, trials: Column, z: float = Z_95) -> Column:

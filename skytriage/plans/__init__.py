@@ -2,7 +2,7 @@
 
 import importlib
 
-_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled")
+_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage")
 
 
 def load_all() -> None:
