@@ -2,7 +2,7 @@
 
 import importlib
 
-_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage")
+_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage", "tracking")
 
 
 def load_all() -> None:
