@@ -2,7 +2,7 @@
 
 import importlib
 
-_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage", "tracking")
+_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage", "tracking", "source")
 
 
 def load_all() -> None:
