@@ -2,7 +2,7 @@
 
 import importlib
 
-_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage", "tracking", "source")
+_FAMILIES = ("geometry", "scoring", "motion", "dataset", "labelled", "triage", "tracking", "source", "table")
 
 
 def load_all() -> None:
