@@ -54,14 +54,17 @@ def _measured(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 def _step_columns(df: DataFrame) -> DataFrame:
     """Velocity and its change from the previous two rows (``p`` and ``pp``)."""
-    dt, dt0 = F.col("frame") - F.col("p.frame"), F.col("p.frame") - F.col("pp.frame")
+    def since(later: str, earlier: str) -> Column:
+        gap = F.col(later) - F.col(earlier)
+        return F.when(gap > 0, gap).when(gap.isNotNull(), F.raise_error(
+            F.lit("frames of a track must be strictly increasing")).cast("long"))
+
+    dt, dt0 = since("frame", "p.frame"), since("p.frame", "pp.frame")
     vx, vy = (F.col("cx") - F.col("p.cx")) / dt, (F.col("cy") - F.col("p.cy")) / dt
     ux, uy = (F.col("p.cx") - F.col("pp.cx")) / dt0, (F.col("p.cy") - F.col("pp.cy")) / dt0
     mid = (dt0 + dt) / 2.0
     return df.withColumns({
-        "dt": F.when(dt <= 0, F.raise_error(F.lit("frames of a track must be strictly increasing")).cast("long"))
-        .otherwise(dt),
-        "vx": vx, "vy": vy, "speed": F.hypot(vx, vy),
+        "dt": dt, "vx": vx, "vy": vy, "speed": F.hypot(vx, vy),
         "path": F.hypot(F.col("cx") - F.col("p.cx"), F.col("cy") - F.col("p.cy")),
         "accel": F.hypot((vx - ux) / mid, (vy - uy) / mid),
         "scale": F.abs(F.col("px") / F.greatest(F.col("p.px"), F.lit(1e-6)) - 1) / dt,
@@ -76,16 +79,17 @@ def steps(obs: DataFrame, keys: list[str] = ["track_id"]) -> DataFrame:
     return _step_columns(m).drop("p", "pp")
 
 
-def _steps_by_position(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for tracks of any length: neighbours meet on (track, position)."""
-    at = durable(ranked(measured, keys, [F.col("frame")]))
-    row = F.struct("frame", "cx", "cy", "px")
-    for name, back in (("p", 1), ("pp", 2)):
-        before = at.select(*keys, (F.col("position") + back).alias("_at"), row.alias(name))
-        left = at if name == "p" else joined
-        joined = left.join(before, [left[k] == before[k] for k in keys] + [F.col("position") == F.col("_at")], "left")
-        joined = joined.select(*[left[c] for c in left.columns], name)
-    return _step_columns(joined).drop("p", "pp", "position")
+def _with_neighbours(placed: DataFrame, keys: list[str], back: dict[str, int]) -> DataFrame:
+    """Rows with the rows so many positions back (negative: ahead), for tracks of any length.
+
+    ``placed`` has ``position``; neighbours meet on (track, position), which spreads one
+    track over all tasks.
+    """
+    out = placed
+    for name, n in back.items():
+        other = placed.select(*keys, (F.col("position") + n).alias("position"), F.struct("frame", "cx", "cy", "px").alias(name))
+        out = out.join(other, [*keys, "position"], "left")
+    return out
 
 
 def _heading_bin() -> Column:
@@ -185,20 +189,24 @@ def track_features(obs: DataFrame, fps: Column | float = 30.0, hover_speed: floa
 
 
 def _long_features(obs: DataFrame, heavy: DataFrame, hover_speed: float, keys: list[str]) -> DataFrame:
-    measured = durable(_measured(obs, keys))
-    stepped = durable(_steps_by_position(measured, keys).withColumn("_hover_speed", F.lit(hover_speed))
-                      .withColumn("_bin", _heading_bin()))
+    placed = durable(ranked(_measured(obs, keys), keys, [F.col("frame")]))
+    stepped = durable(_step_columns(_with_neighbours(placed, keys, {"p": 1, "pp": 2})).drop("p", "pp", "position")
+                      .withColumn("_hover_speed", F.lit(hover_speed)).withColumn("_bin", _heading_bin()))
+    series = _between(_with_neighbours(placed, keys, {"_next": -1}), keys)
     return _derived(
         stepped.groupBy(*keys).agg(*_moments(keys))
         .join(medians(stepped.where("scale IS NOT NULL"), keys, "scale", "scale_change_rate", limit=0), keys)
         .join(medians(stepped, keys, "px", "median_pixels_on_target", limit=0), keys)
-        .join(distributed_spectrum(resample(measured, keys), heavy.select(*keys, "_fps"), keys), keys), keys)
+        .join(distributed_spectrum(series, heavy.select(*keys, "_fps"), keys), keys), keys)
 
 
 def resample(measured: DataFrame, keys: list[str] = ["track_id"]) -> DataFrame:
     """Vertical centre on every integer frame from first to last, linear between rows."""
     w = Window.partitionBy(*keys).orderBy("frame")
-    nxt = measured.withColumn("_next", F.lead(F.struct("frame", "cy")).over(w))
+    return _between(measured.withColumn("_next", F.lead(F.struct("frame", "cy")).over(w)), keys)
+
+
+def _between(nxt: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.sequence(F.col("frame"), F.greatest(F.col("frame"), F.coalesce(F.col("_next.frame"), F.col("frame") + 1) - 1))
     slope = F.coalesce((F.col("_next.cy") - F.col("cy")) / (F.col("_next.frame") - F.col("frame")), F.lit(0.0))
     return nxt.select(*keys, F.explode(inside).alias("at"), "frame", "cy", slope.alias("_m")).select(
