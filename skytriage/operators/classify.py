@@ -70,7 +70,7 @@ def permutation_importance(model: PipelineModel, tracks: DataFrame, repeats: int
             k = seed + f * repeats + r
             deals.append((f, r, primes[k % len(primes)], (k * 7919) % max(n, 1)))
     plan = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, r, a, b in deals])
-    asked = numbered.select("i", "label", F.array(*FEATURES).alias("v"), F.explode(plan).alias("d")).select(
+    asked = numbered.select("i", "label", F.array(*FEATURES).alias("v"), F.explode_outer(plan).alias("d")).select(
         "label", "v", F.col("d.f").alias("f"), F.col("d.r").alias("r"), ((F.col("i") * F.col("d.a") + F.col("d.b")) % n).alias("j"))
     other = numbered.select(F.col("i").alias("j"), F.array(*FEATURES).alias("o"))
     dealt = asked.join(other, "j").select("label", "f", "r", F.transform("v", lambda x, k: F.when(k == F.col("f"), F.get("o", k)).otherwise(x)).alias("v"))

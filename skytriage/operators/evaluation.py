@@ -8,6 +8,7 @@ from skytriage.constants import AP_SWEEP, BUCKET_LABELS, BUCKETS, MIN_EVAL_BOXES
 from skytriage.functions.geometry import corners, pixels_on_target
 from skytriage.operators.matching import FRAME, FRAME_LIMIT, IGNORED, TRUE_POSITIVE, Cell, match_outcomes
 from skytriage.operators.scan import prefix_scan, suffix_max, with_blocks
+from skytriage.session import durable
 
 
 def eligible_counts(gt: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def average_precision(matches: DataFrame, eligible: DataFrame, keys: list[str])
     (``source_video, frame_index, det_index``); ``eligible`` has keys and ``n_eligible``.
     """
     tie = [F.desc("score"), *[F.col(c) for c in FRAME], F.col("det_index")]
-    blocked = with_blocks(matches.where(~F.col("is_ignored")), [*[F.col(k) for k in keys], *tie])
+    blocked = with_blocks(durable(matches.where(~F.col("is_ignored"))), [*[F.col(k) for k in keys], *tie])
     ranked = prefix_scan(blocked, keys, tie, sums={
         "_rank": F.lit(1).cast("long"), "_tp": F.col("is_tp").cast("long")})
     hits = ranked.where("is_tp").withColumn("_precision", F.col("_tp") / F.col("_rank"))
@@ -45,17 +46,24 @@ def evaluate(det: DataFrame, gt: DataFrame, frames: DataFrame, cells: list[Cell]
 
     With ``confidence`` the counts, precision and recall describe the detections at or
     above it; AP always ranks all of them.
+    """
+    return _evaluate(det, gt, frames, cells, [confidence], frame_limit).drop("confidence")
+
+
+def _evaluate(det, gt, frames, cells, confidences, frame_limit=FRAME_LIMIT) -> DataFrame:
+    """All cells, and counts at several confidences, from one matching and one ranking.
 
-    All cells share one ranking. Precision only matters at true positives and its
-    denominator is the shared rank minus the ignored rows before it, so only matched
-    rows are expanded per cell.
+    Precision only matters at true positives and its denominator is the shared rank minus
+    the ignored rows before it, so only matched rows are expanded per cell.
     """
-    outcomes = match_outcomes(det, gt, cells, frame_limit)
+    kinds = F.transform("cells", lambda o: o["kind"])
+    # Written once: the range partitioning reads its input twice, for bounds and for rows.
+    outcomes = durable(match_outcomes(det, gt, cells, frame_limit).select(*FRAME, "det_index", "score", kinds.alias("kinds")))
     tie = [F.desc("score"), *[F.col(c) for c in FRAME], F.col("det_index")]
     blocked = with_blocks(outcomes, tie)
-    keep = F.lit(True) if confidence is None else F.col("score") >= confidence
-    pos = prefix_scan(blocked.withColumn("_all", F.lit(0)), ["_all"], tie, sums={"_pos": F.lit(1).cast("long")})
-    n_ranked = blocked.agg(F.count_if(keep).alias("n_ranked"))
+    keeps = [F.lit(True) if c is None else F.col("score") >= c for c in confidences]
+    pos = prefix_scan(blocked, [], tie, sums={"_pos": F.lit(1).cast("long")})
+    n_ranked = blocked.agg(*[F.count_if(k).alias(f"n_ranked_{i}") for i, k in enumerate(keeps)])
     events = pos.select("_block", "_pos", "score", F.posexplode("kinds").alias("cell", "kind")).where("kind > 0")
     scanned = prefix_scan(events, ["cell"], [F.col("_pos")], sums={
         "_tp": (F.col("kind") == TRUE_POSITIVE).cast("long"), "_ign": (F.col("kind") == IGNORED).cast("long")})
@@ -64,23 +72,24 @@ def evaluate(det: DataFrame, gt: DataFrame, frames: DataFrame, cells: list[Cell]
     best = suffix_max(hits, ["cell"], "_pos", "_best", F.col("_precision"))
     per_cell = best.groupBy("cell").agg(
         F.sum(F.when(F.col("kind") == TRUE_POSITIVE, F.col("_best"))).alias("_area"),
-        F.count_if((F.col("kind") == TRUE_POSITIVE) & keep).alias("_n_tp"),
-        F.count_if((F.col("kind") == IGNORED) & keep).alias("_n_ign"))
-    spark = det.sparkSession
-    dim = spark.createDataFrame(
-        [(i, c.iou_threshold, c.bucket) for i, c in enumerate(cells)],
-        "cell int, iou_threshold double, bucket string")
+        *[F.count_if((F.col("kind") == kind) & k).alias(f"{name}_{i}")
+          for i, k in enumerate(keeps) for name, kind in (("_n_tp", TRUE_POSITIVE), ("_n_ign", IGNORED))])
+    dim = det.sparkSession.createDataFrame(
+        [(i, c.iou_threshold, c.bucket) for i, c in enumerate(cells)], "cell int, iou_threshold double, bucket string")
     # Every relation below has one row per cell or a single row.
     n_images = frames.agg(F.count("*").alias("n_images"))
     totals = n_ranked.withColumn("_one", F.lit(1)).join(n_images.withColumn("_one", F.lit(1)), "_one")
     joined = (
         dim.join(per_cell, "cell", "left").join(eligible_counts(gt), "bucket", "left")
         .withColumn("_one", F.lit(1)).join(totals, "_one"))
-    tp = F.coalesce(F.col("_n_tp"), F.lit(0))
-    fp = F.col("n_ranked") - tp - F.coalesce(F.col("_n_ign"), F.lit(0))
+    at = F.array(*[F.struct(
+        F.lit(c).cast("double").alias("confidence"), F.coalesce(f"_n_tp_{i}", F.lit(0)).alias("tp"),
+        (F.col(f"n_ranked_{i}") - F.coalesce(f"_n_tp_{i}", F.lit(0)) - F.coalesce(f"_n_ign_{i}", F.lit(0))).alias("fp"))
+        for i, c in enumerate(confidences)])
+    tp, fp = F.col("tp"), F.col("fp")
     none = F.raise_error(F.lit("no images to evaluate")).cast("double")
-    return joined.select(
-        "cell", "iou_threshold", "bucket", tp.alias("true_positives"), fp.alias("false_positives"),
+    return joined.select("*", F.inline(at)).select(
+        "cell", "confidence", "iou_threshold", "bucket", tp.alias("true_positives"), fp.alias("false_positives"),
         (F.col("n_eligible") - tp).alias("false_negatives"), "n_eligible",
         F.when(F.col("n_images") == 0, none)
         .when(F.col("n_eligible") > 0, F.coalesce(F.col("_area"), F.lit(0.0)) / F.col("n_eligible"))
@@ -117,13 +126,16 @@ def score_report(det: DataFrame, gt: DataFrame, frames: DataFrame, iou_threshold
     """Every section of the report as rows: section, cell, counts, AP, thin flag."""
     listed = report_cells(iou_thresholds, iou_thresholds_small, sweep)
     cells = list(dict.fromkeys(c for _, c in listed))
-    scored = evaluate(det, gt, frames, cells)
+    confidences = [None] if operating_confidence is None else [None, operating_confidence]
+    scored = durable(_evaluate(det, gt, frames, cells, confidences))
     sections = det.sparkSession.createDataFrame(
         [(s, cells.index(c)) for s, c in listed], "section string, cell int")
-    out = sections.join(scored, "cell")
+    out = sections.join(scored.where("confidence IS NULL"), "cell")
     if operating_confidence is not None:
-        at = evaluate(det, gt, frames, [Cell(t) for t in iou_thresholds], confidence=operating_confidence)
+        shown = [cells.index(Cell(t)) for t in iou_thresholds]
+        at = scored.where(F.col("confidence").isNotNull() & F.col("cell").isin(shown))
         out = out.unionByName(at.withColumn("section", F.lit("operating_point")).select(out.columns))
+    out = out.drop("confidence")
     return out.drop("cell").withColumn("thin", F.col("n_eligible") < MIN_EVAL_BOXES)
 
 

@@ -67,16 +67,16 @@ def first_covering(points: DataFrame, intervals: DataFrame, key: str, at: str, o
         key, row, start.alias("_s"), end.alias("_e"),
         aligned_blocks(low, F.greatest(low, high), _TIME_BITS, _TIME_LEVELS).alias("_full"),
         F.array_distinct(F.array(first_min, last_min)).alias("_edge"))
-    full = spans.select(key, F.explode("_full").alias("_b"), "_row").groupBy(key, "_b").agg(
+    full = spans.select(key, F.explode_outer("_full").alias("_b"), "_row").groupBy(key, "_b").agg(
         F.min("_row").alias("_row")).select(key, "_b", "_row", F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e"))
-    edges = spans.select(key, F.explode("_edge").alias("_m"), "_row", "_s", "_e").select(
+    edges = spans.select(key, F.explode_outer("_edge").alias("_m"), "_row", "_s", "_e").select(
         key, F.struct(F.lit(-1).alias("level"), F.col("_m").alias("block")).alias("_b"), "_row", "_s", "_e")
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     of_minute = F.floor(micros / float(minute)).cast("long")
     probes = F.array(
         F.struct(F.lit(-1).alias("level"), of_minute.alias("block")),
         *[F.struct(F.lit(j).alias("level"), F.shiftright(of_minute, _TIME_BITS * j).alias("block")) for j in range(_TIME_LEVELS)])
-    asked = points.select(key, at).distinct().select(key, at, micros.alias("_t"), F.explode(probes).alias("_b"))
+    asked = points.select(key, at).distinct().select(key, at, micros.alias("_t"), F.explode_outer(probes).alias("_b"))
     hit = asked.join(full.unionByName(edges), [key, "_b"]).where(
         F.col("_s").isNull() | F.col("_t").between(F.col("_s"), F.col("_e")))
     return hit.groupBy(key, at).agg(F.min("_row").alias("_row")).select(key, at, *[F.col(f"_row.{p}").alias(p) for p in payload])
@@ -110,9 +110,9 @@ def band_matches(asked: DataFrame, rows: DataFrame, key: str, value: str, tolera
     levels = F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright(position, _BAND_BITS * j).alias("block"))
                        for j in range(_BAND_LEVELS)])
     w = Window.partitionBy(key, "_b").orderBy("_order")
-    heads = placed.where("_side = 1").select(key, "_order", "_row", F.explode(levels).alias("_b")).withColumn(
+    heads = placed.where("_side = 1").select(key, "_order", "_row", F.explode_outer(levels).alias("_b")).withColumn(
         "_n", F.row_number().over(w)).where(F.col("_n") <= first).drop("_n")
-    wanted = ends.select(key, "_p", F.explode(aligned_blocks(F.col("_l"), F.col("_r"), _BAND_BITS, _BAND_LEVELS)).alias("_b"))
+    wanted = ends.select(key, "_p", F.explode_outer(aligned_blocks(F.col("_l"), F.col("_r"), _BAND_BITS, _BAND_LEVELS)).alias("_b"))
     per = Window.partitionBy(key, "_p").orderBy("_order")
     found = wanted.join(heads, [key, "_b"]).withColumn("_n", F.row_number().over(per)).where(F.col("_n") <= first)
     lists = found.groupBy(key, "_p").agg(F.sort_array(F.collect_list(F.struct("_order", "_row"))).alias("_m"))

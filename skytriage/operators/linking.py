@@ -30,7 +30,7 @@ def link_candidates(det: DataFrame, max_gap: int, iou_threshold: float, factor:
         F.lit(factor) * pixels_on_target(corners()),
         F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * max(1.0 - iou_threshold, 0.5 / iou_threshold - 0.5))
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    gaps = F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap")
+    gaps = F.explode_outer(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap")
     before = det.select("source_video", F.col("frame_index").alias("a_frame"), F.col("det_index").alias("a_det"), box.alias("a"),
                         cx.alias("_cx"), cy.alias("_cy"), reach.alias("_reach"), gaps).withColumn("frame_index", F.col("a_frame") + F.col("gap"))
     after = det.select(*FRAME, F.col("det_index").alias("b_det"), box.alias("b"), cx.alias("_bx"), cy.alias("_by"))
@@ -39,8 +39,8 @@ def link_candidates(det: DataFrame, max_gap: int, iou_threshold: float, factor:
     cols = ["source_video", "a_frame", "a_det", "gap", "frame_index", "b_det", "a", "b"]
     pairs = pairs.select(*cols)
     if large is not None:
-        probing = before.withColumn("_cell", F.explode(near_probes(F.col("_cx"), F.col("_cy"), F.col("_reach"))))
-        filed = large.withColumn("_cell", F.explode(near_cells(F.col("_bx"), F.col("_by"))))
+        probing = before.withColumn("_cell", F.explode_outer(near_probes(F.col("_cx"), F.col("_cy"), F.col("_reach"))))
+        filed = large.withColumn("_cell", F.explode_outer(near_cells(F.col("_bx"), F.col("_by"))))
         pairs = pairs.unionByName(probing.join(filed, [*FRAME, "_cell"]).select(*cols))
     strength = affinity(field_box(F.col("a")), field_box(F.col("b")), iou_threshold, factor)
     return pairs.withColumn("affinity", strength).where("affinity > 0").drop("a", "b").withColumnRenamed("frame_index", "b_frame")

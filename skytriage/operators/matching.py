@@ -23,6 +23,9 @@ FRAME = ["source_video", "frame_index"]
 #: distributed rounds instead of one fold, so that no task holds an unbounded frame.
 FRAME_LIMIT = 2_000
 
+#: Ground-truth boxes of a frame up to which every detection of the frame may meet them.
+CROWD = 64
+
 FALSE_POSITIVE, TRUE_POSITIVE, IGNORED = 0, 1, 2
 
 
@@ -49,24 +52,25 @@ def cell_array(cells: list[Cell]) -> Column:
                               F.lit(c.bucket).alias("bucket")) for i, c in enumerate(cells)])
 
 
-def box_pairs(det: DataFrame, gt: DataFrame, min_iou: float) -> DataFrame:
+def box_pairs(det: DataFrame, gt: DataFrame, min_iou: float, crowd: int = CROWD) -> DataFrame:
     """Overlapping (detection, ground truth) pairs of the same frame with IoU >= ``min_iou``.
 
-    The join key is the frame plus a grid cell, so a crowded frame neither meets on one
-    key nor produces its full cross product. Each pair appears once, since a detection
-    has a single home cell.
+    Frames with few ground-truth boxes meet on the frame number. In crowded ones the
+    boxes are filed under grid cells, so a frame neither meets on one key nor produces
+    its full cross product; each pair appears once, since a detection has one home cell.
     """
-    left = det.select(*FRAME, "det_index", "score", F.struct("x1", "y1", "x2", "y2").alias("d"),
-                      home_cell(corners()).alias("cell"))
-    right = gt.select(*FRAME, "gt_index", F.struct("x1", "y1", "x2", "y2").alias("g"),
-                      F.explode(probe_cells(corners(), min_iou)).alias("cell"))
-    overlap = iou(field_box(F.col("d")), field_box(F.col("g")))
+    left = det.select(*FRAME, "det_index", "score", F.struct("x1", "y1", "x2", "y2").alias("d"))
+    small, large = split_by_size(gt.select(*FRAME, "gt_index", "x1", "y1", "x2", "y2"), FRAME, crowd)
+    box = F.struct("x1", "y1", "x2", "y2").alias("g")
+    cols = [*FRAME, "det_index", "gt_index", "score", "d", "g"]
+    pairs = left.join(small.select(*FRAME, "gt_index", box), FRAME).select(*cols)
+    if large is not None:
+        filed = left.withColumn("cell", home_cell(field_box(F.col("d"))))
+        probing = large.select(*FRAME, "gt_index", box, F.explode_outer(probe_cells(corners(), min_iou)).alias("cell"))
+        pairs = pairs.unionByName(filed.join(probing, [*FRAME, "cell"]).select(*cols))
     return (
-        left.join(right, [*FRAME, "cell"])
-        .withColumn("iou", overlap).where(F.col("iou") >= min_iou)
-        .select(*FRAME, "det_index", "gt_index", "score", "iou",
-                pixels_on_target(field_box(F.col("g"))).alias("gt_px"))
-    )
+        pairs.withColumn("iou", iou(field_box(F.col("d")), field_box(F.col("g")))).where(F.col("iou") >= min_iou)
+        .select(*FRAME, "det_index", "gt_index", "score", "iou", pixels_on_target(field_box(F.col("g"))).alias("gt_px")))
 
 
 def _fold_frames(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
@@ -89,13 +93,15 @@ def _fold_frames(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
             pixels_on_target(field_box(g["box"])).alias("px")))
         return F.sort_array(F.filter(near, lambda c: c["neg"] <= -lowest))
 
+    # Detections that overlap nothing need no turn: they are false positives in every cell.
     with_near = frames.where(F.size("dets") > 0).select(*FRAME, F.transform("dets", lambda d: F.struct(
-        d["det_index"].alias("det_index"), d["key"].alias("key"),
-        candidates(d).alias("near"))).alias("dets"))
+        d["det_index"].alias("det_index"), d["key"].alias("key"), candidates(d).alias("near"))).alias("dets")).select(
+        *FRAME, F.filter("dets", lambda d: F.size(d["near"]) > 0).alias("queue"),
+        F.filter("dets", lambda d: F.size(d["near"]) == 0).alias("alone"))
 
     start = F.struct(
         F.array().cast("array<bigint>").alias("taken"),
-        F.array().cast("array<struct<det_index:bigint,p:struct<inside:bigint,other:bigint>>>").alias("out"))
+        F.array().cast("array<struct<inside:bigint,other:bigint>>").alias("out"))
 
     def settle(cell: Column) -> Column:
         def step(acc: Column, d: Column) -> Column:
@@ -107,17 +113,22 @@ def _fold_frames(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
             picked = F.struct(inside["gt"].alias("inside"), F.get(free, F.lit(0))["gt"].alias("other"))
             return F.struct(
                 F.array_compact(F.array_append(acc["taken"], F.coalesce(picked["inside"], picked["other"]))).alias("taken"),
-                F.array_append(acc["out"], F.struct(d["det_index"].alias("det_index"), picked.alias("p"))).alias("out"))
+                F.array_append(acc["out"], picked).alias("out"))
 
-        return F.transform(
-            F.aggregate(F.filter("dets", lambda d: F.size(d["near"]) > 0), start, step, lambda acc: acc["out"]),
-            lambda o: F.struct(
-                o["det_index"].alias("det_index"),
-                F.when(o["p"]["inside"].isNotNull(), TRUE_POSITIVE).when(o["p"]["other"].isNotNull(), IGNORED)
-                .otherwise(FALSE_POSITIVE).cast("tinyint").alias("kind"),
-                F.coalesce(o["p"]["inside"], o["p"]["other"]).alias("gt")))
+        return F.transform(F.aggregate("queue", start, step, lambda acc: acc["out"]), lambda o: F.struct(
+            F.when(o["inside"].isNotNull(), TRUE_POSITIVE).when(o["other"].isNotNull(), IGNORED)
+            .otherwise(FALSE_POSITIVE).cast("tinyint").alias("kind"),
+            F.coalesce(o["inside"], o["other"]).alias("gt")))
 
-    return with_near.select(*FRAME, "dets", F.transform(cell_array(cells), settle).alias("settled"))
+    settled = with_near.select(*FRAME, "queue", "alone", F.transform(cell_array(cells), settle).alias("settled"))
+    miss = F.struct(F.lit(FALSE_POSITIVE).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("gt"))
+    missed = F.array(*[miss] * len(cells))
+    rows = F.concat(
+        F.transform("queue", lambda d, i: F.struct(d["det_index"], (-d["key"]).alias("score"),
+                                                   F.transform("settled", lambda s: F.get(s, i)).alias("cells"))),
+        F.transform("alone", lambda d: F.struct(d["det_index"], (-d["key"]).alias("score"), missed.alias("cells"))))
+    # An outer explode, since an inner one first evaluates the whole fold to see if it is empty.
+    return settled.select(*FRAME, F.explode_outer(rows).alias("r")).select(*FRAME, "r.det_index", "r.score", "r.cells")
 
 
 def _pairs_by_rounds(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
@@ -128,9 +139,9 @@ def _pairs_by_rounds(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFr
     detection in line always qualifies, so every round settles something.
     """
     lowest = min(c.iou_threshold for c in cells)
-    pairs = box_pairs(det, gt, lowest)
+    pairs = box_pairs(det, gt, lowest, crowd=0)
     open_pairs = durable(
-        pairs.withColumn("c", F.explode(cell_array(cells))).where("iou >= c.thr")
+        pairs.withColumn("c", F.explode_outer(cell_array(cells))).where("iou >= c.thr")
         .select(F.col("c.cell").alias("cell"), *FRAME, "det_index", "gt_index", "score", "iou",
                 ((F.col("gt_px") >= F.col("c.lo")) & (F.col("gt_px") < F.col("c.hi"))).alias("inside")))
     by_det, by_gt = ["cell", *FRAME, "det_index"], ["cell", *FRAME, "gt_index"]
@@ -157,59 +168,34 @@ def _pairs_by_rounds(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFr
 
 
 def match_outcomes(det: DataFrame, gt: DataFrame, cells: list[Cell], frame_limit: int = FRAME_LIMIT) -> DataFrame:
-    """One row per detection with ``kinds``, an outcome per cell in the given order.
+    """One row per detection with ``cells``, an array of struct(kind, gt) in the given order.
 
-    Keeping the cells side by side in an array means detections are shuffled and ranked
-    once, not once per cell.
+    Keeping the cells side by side means detections are shuffled and ranked once, not
+    once per cell.
     """
-    return _outcomes(det, gt, cells, frame_limit)[0]
-
-
-def _outcomes(det, gt, cells, frame_limit):
     det = det.select(*FRAME, F.col("det_index").cast("long").alias("det_index"), "x1", "y1", "x2", "y2", "score")
     gt = gt.select(*FRAME, F.col("gt_index").cast("long").alias("gt_index"), "x1", "y1", "x2", "y2")
-    sized = det.select(*FRAME).unionByName(gt.select(*FRAME))
-    _, crowded = split_by_size(sized, FRAME, frame_limit)
-    small_det, small_gt, rounds = det, gt, None
-    if crowded is not None:
-        busy = durable(crowded.distinct())
-        small_det, small_gt = (t.join(busy, FRAME, "left_anti") for t in (det, gt))
-        busy_det = det.join(busy, FRAME, "left_semi")
-        rounds = _pairs_by_rounds(busy_det, gt.join(busy, FRAME, "left_semi"), cells)
-    folded = _fold_frames(small_det, small_gt, cells)
-    lookup = F.transform(F.col("settled"), lambda s: F.coalesce(
-        F.get(F.filter(s, lambda o: o["det_index"] == F.col("d.det_index")), F.lit(0))["kind"],
-        F.lit(FALSE_POSITIVE).cast("tinyint")))
-    none = F.array(*[F.lit(FALSE_POSITIVE).cast("tinyint")] * len(cells))
-    kinds = (
-        folded.select(*FRAME, "settled", F.explode("dets").alias("d"))
-        .select(*FRAME, F.col("d.det_index").alias("det_index"), (-F.col("d.key")).alias("score"),
-                F.when(F.size("d.near") > 0, lookup).otherwise(none).alias("kinds")))
-    if rounds is not None:
-        per_det = rounds.groupBy(*FRAME, "det_index").agg(
-            F.map_from_entries(F.collect_list(F.struct("cell", "kind"))).alias("m"))
-        slots = F.array(*[F.coalesce(F.element_at("m", F.lit(i)), F.lit(FALSE_POSITIVE).cast("tinyint"))
-                          for i in range(len(cells))])
-        kinds = kinds.unionByName(
-            busy_det.select(*FRAME, "det_index", "score").join(per_det, [*FRAME, "det_index"], "left")
-            .select(*FRAME, "det_index", "score", F.when(F.col("m").isNull(), none).otherwise(slots).alias("kinds")))
-    return kinds, (folded, rounds, busy_det if crowded is not None else None)
+    _, crowded = split_by_size(det.select(*FRAME).unionByName(gt.select(*FRAME)), FRAME, frame_limit)
+    if crowded is None:
+        return _fold_frames(det, gt, cells)
+    busy = durable(crowded.distinct())
+    folded = _fold_frames(*(t.join(busy, FRAME, "left_anti") for t in (det, gt)), cells)
+    busy_det = det.join(busy, FRAME, "left_semi")
+    rounds = _pairs_by_rounds(busy_det, gt.join(busy, FRAME, "left_semi"), cells)
+    per_det = rounds.groupBy(*FRAME, "det_index").agg(F.map_from_entries(F.collect_list(
+        F.struct("cell", F.struct("kind", F.col("gt_index").alias("gt"))))).alias("m"))
+    miss = F.struct(F.lit(FALSE_POSITIVE).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("gt"))
+    slots = F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), miss) for i in range(len(cells))])
+    return folded.unionByName(
+        busy_det.select(*FRAME, "det_index", "score").join(per_det, [*FRAME, "det_index"], "left")
+        .select(*FRAME, "det_index", "score", slots.alias("cells")))
 
 
 def match_detections(det: DataFrame, gt: DataFrame, cells: list[Cell],
                      frame_limit: int = FRAME_LIMIT) -> DataFrame:
     """One row per (cell, detection): outcome flags and the matched ground-truth index."""
-    kinds, (folded, rounds, _) = _outcomes(det, gt, cells, frame_limit)
-    matched = folded.select(*FRAME, F.posexplode("settled").alias("cell", "s")).select(
-        "cell", *FRAME, F.explode("s").alias("o")).where("o.gt IS NOT NULL").select(
-        "cell", *FRAME, F.col("o.det_index").alias("det_index"), F.col("o.gt").alias("gt_index"))
-    if rounds is not None:
-        matched = matched.unionByName(rounds.select("cell", *FRAME, "det_index", "gt_index"))
-    flat = kinds.select("*", F.posexplode("kinds").alias("cell", "kind")).drop("kinds")
-    return (
-        flat.join(matched, ["cell", *FRAME, "det_index"], "left")
-        .withColumn("c", F.get(cell_array(cells), F.col("cell")))
-        .select(F.col("c.thr").alias("iou_threshold"), F.col("c.bucket").alias("bucket"),
-                *FRAME, "det_index", "score", (F.col("kind") == TRUE_POSITIVE).alias("is_tp"),
-                (F.col("kind") == IGNORED).alias("is_ignored"), "gt_index")
-    )
+    flat = match_outcomes(det, gt, cells, frame_limit).select(
+        *FRAME, "det_index", "score", F.posexplode_outer("cells").alias("cell", "o"))
+    return flat.withColumn("c", F.get(cell_array(cells), F.col("cell"))).select(
+        F.col("c.thr").alias("iou_threshold"), F.col("c.bucket").alias("bucket"), *FRAME, "det_index", "score",
+        (F.col("o.kind") == TRUE_POSITIVE).alias("is_tp"), (F.col("o.kind") == IGNORED).alias("is_ignored"), F.col("o.gt").alias("gt_index"))

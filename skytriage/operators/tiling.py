@@ -34,8 +34,8 @@ def generate_tiles(videos: DataFrame, tile_width: int, tile_height: int, overlap
     cut = videos.select("source_video", w.cast("int").alias("tile_w"), h.cast("int").alias("tile_h"),
                         F.col("frame_width").cast("int").alias("fw"), F.col("frame_height").cast("int").alias("fh"))
     xs, ys = offsets(F.col("fw"), F.col("tile_w")), offsets(F.col("fh"), F.col("tile_h"))
-    rows = cut.select("source_video", "tile_w", "tile_h", xs.alias("xs"), F.posexplode(ys).alias("row", "offset_y"))
-    cells = rows.select("source_video", "tile_w", "tile_h", "row", "offset_y", F.size("xs").alias("nx"), F.posexplode("xs").alias("col", "offset_x"))
+    rows = cut.select("source_video", "tile_w", "tile_h", xs.alias("xs"), F.posexplode_outer(ys).alias("row", "offset_y"))
+    cells = rows.select("source_video", "tile_w", "tile_h", "row", "offset_y", F.size("xs").alias("nx"), F.posexplode_outer("xs").alias("col", "offset_x"))
     return cells.select("source_video", (F.col("row") * F.col("nx") + F.col("col")).alias("tile_index"), "offset_x", "offset_y", "tile_w", "tile_h")
 
 
@@ -53,7 +53,7 @@ def nms(det: DataFrame, iou_threshold: float, frame_limit: int = FRAME_LIMIT) ->
         return F.when(clash, kept).otherwise(F.array_append(kept, d))
 
     folded = small.groupBy(*FRAME).agg(F.sort_array(F.collect_list(entry)).alias("_dets"))
-    kept = folded.select(*FRAME, F.explode(F.aggregate("_dets", none, keep)).alias("_k")).select(*FRAME, "_k.row.*")
+    kept = folded.select(*FRAME, F.explode_outer(F.aggregate("_dets", none, keep)).alias("_k")).select(*FRAME, "_k.row.*")
     kept = kept.select(*det.columns)
     return kept if large is None else kept.unionByName(_nms_rounds(large, iou_threshold))
 
@@ -70,12 +70,12 @@ def _nms_rounds(det: DataFrame, iou_threshold: float) -> DataFrame:
     done = []
     while not left.isEmpty():
         best = left.groupBy(*FRAME, "_cell").agg(F.max("_rank").alias("_top"))
-        around = left.select(*FRAME, "det_index", "_rank", F.explode(probe_cells(corners(), iou_threshold)).alias("_cell"))
+        around = left.select(*FRAME, "det_index", "_rank", F.explode_outer(probe_cells(corners(), iou_threshold)).alias("_cell"))
         first = around.join(best, [*FRAME, "_cell"]).groupBy(*FRAME, "det_index").agg(
             F.max("_top").alias("_top"), F.first("_rank").alias("_own")).where("_top = _own").select(*FRAME, "det_index")
         won = durable(left.join(first, [*FRAME, "det_index"], "left_semi"))
         done.append(won)
-        reach = won.select(*FRAME, F.struct("x1", "y1", "x2", "y2").alias("_w"), F.explode(probe_cells(corners(), iou_threshold)).alias("_cell"))
+        reach = won.select(*FRAME, F.struct("x1", "y1", "x2", "y2").alias("_w"), F.explode_outer(probe_cells(corners(), iou_threshold)).alias("_cell"))
         hit = left.join(reach, [*FRAME, "_cell"]).where(iou(field_box(F.col("_w")), corners()) >= iou_threshold)
         gone = hit.select(*FRAME, "det_index").unionByName(won.select(*FRAME, "det_index")).distinct()
         left = durable(left.join(gone, [*FRAME, "det_index"], "left_anti"))
