@@ -102,7 +102,7 @@ def _gamma_quantile(shape: Column, prob: float) -> Column:
         step = err / (1 - F.least(F.lit(1.0), err * ((shape - 1) / x - 1)) / 2)
         return F.greatest(x - step, x / 2)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.greatest(_cube_root_quantile(shape, prob), F.lit(1e-3)), polish)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.greatest(_cube_root_quantile(shape, prob), F.lit(1e-3)), polish)
 
 
 def poisson_interval(count: Column) -> Column:

@@ -12,10 +12,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skytriage.operators.scan import prefix_scan, with_blocks
 
 
+def block_key(block: Column, level: int) -> Column:
+    """One number per (level, block), cheaper to hash and sort than a pair."""
+    return block * 64 + level
+
+
+#: Level number, outside the range in use, under which the edge minutes are filed.
+_EDGE = 63
+
+
 def aligned_blocks(low: Column, high: Column, bits: int, levels: int) -> Column:
-    """Array of struct(level, block) that exactly covers the whole numbers [low, high).
+    """Keys of the aligned blocks that exactly cover the whole numbers [low, high).
 
-    A block of level j holds 2^(bits*j) numbers starting at a multiple of that.
+    A block of level j holds 2^(bits*j) numbers starting at a multiple of that. ``low``
+    and ``high`` should be plain columns: they are referred to many times.
     """
     base = 1 << bits
 
@@ -31,7 +41,7 @@ def aligned_blocks(low: Column, high: Column, bits: int, levels: int) -> Column:
         return F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
 
     def tagged(j: int):
-        return lambda x: F.struct(F.lit(j).alias("level"), x.alias("block"))
+        return lambda x: block_key(x, j)
 
     parts = []
     for j in range(levels):
@@ -45,8 +55,8 @@ def aligned_blocks(low: Column, high: Column, bits: int, levels: int) -> Column:
     return F.concat(*parts)
 
 
-#: Minutes, then sixteen of each: the seventh level spans decades.
-_TIME_BITS, _TIME_LEVELS = 4, 7
+#: Minutes, then four of each: the thirteenth level spans decades.
+_TIME_BITS, _TIME_LEVELS = 2, 13
 
 
 def first_covering(points: DataFrame, intervals: DataFrame, key: str, at: str, order: str,
@@ -64,19 +74,20 @@ def first_covering(points: DataFrame, intervals: DataFrame, key: str, at: str, o
     high = F.floor(end / float(minute)).cast("long")
     first_min, last_min = F.floor(start / float(minute)).cast("long"), F.floor(end / float(minute)).cast("long")
     spans = intervals.where(F.col("ends_at") >= F.col("starts_at")).select(
-        key, row, start.alias("_s"), end.alias("_e"),
-        aligned_blocks(low, F.greatest(low, high), _TIME_BITS, _TIME_LEVELS).alias("_full"),
+        key, row, start.alias("_s"), end.alias("_e"), low.alias("_lo"), F.greatest(low, high).alias("_hi"),
         F.array_distinct(F.array(first_min, last_min)).alias("_edge"))
-    full = spans.select(key, F.explode_outer("_full").alias("_b"), "_row").groupBy(key, "_b").agg(
+    blocks = aligned_blocks(F.col("_lo"), F.col("_hi"), _TIME_BITS, _TIME_LEVELS)
+    full = spans.select(key, F.explode_outer(blocks).alias("_b"), "_row").where("_b IS NOT NULL").groupBy(key, "_b").agg(
         F.min("_row").alias("_row")).select(key, "_b", "_row", F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e"))
     edges = spans.select(key, F.explode_outer("_edge").alias("_m"), "_row", "_s", "_e").select(
-        key, F.struct(F.lit(-1).alias("level"), F.col("_m").alias("block")).alias("_b"), "_row", "_s", "_e")
+        key, block_key(F.col("_m"), _EDGE).alias("_b"), "_row", "_s", "_e")
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     of_minute = F.floor(micros / float(minute)).cast("long")
-    probes = F.array(
-        F.struct(F.lit(-1).alias("level"), of_minute.alias("block")),
-        *[F.struct(F.lit(j).alias("level"), F.shiftright(of_minute, _TIME_BITS * j).alias("block")) for j in range(_TIME_LEVELS)])
-    asked = points.select(key, at).distinct().select(key, at, micros.alias("_t"), F.explode_outer(probes).alias("_b"))
+    asked = points.select(key, at).distinct().select(key, at, micros.alias("_t"), of_minute.alias("_m"))
+    minute_no = F.col("_m")
+    probes = F.array(block_key(minute_no, _EDGE), *[
+        block_key(F.shiftright(minute_no, _TIME_BITS * j), j) for j in range(_TIME_LEVELS)])
+    asked = asked.select(key, at, "_t", F.explode_outer(probes).alias("_b"))
     hit = asked.join(full.unionByName(edges), [key, "_b"]).where(
         F.col("_s").isNull() | F.col("_t").between(F.col("_s"), F.col("_e")))
     return hit.groupBy(key, at).agg(F.min("_row").alias("_row")).select(key, at, *[F.col(f"_row.{p}").alias(p) for p in payload])
@@ -106,16 +117,16 @@ def band_matches(asked: DataFrame, rows: DataFrame, key: str, value: str, tolera
     ends = placed.where("_side <> 1").groupBy(key, "_p").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_before"))).alias("_l"),
         F.max(F.when(F.col("_side") == 2, F.col("_before"))).alias("_r"))
-    position = F.col("_before") - 1
-    levels = F.array(*[F.struct(F.lit(j).alias("level"), F.shiftright(position, _BAND_BITS * j).alias("block"))
-                       for j in range(_BAND_LEVELS)])
+    placed = placed.withColumn("_pos", F.col("_before") - 1)
+    levels = F.array(*[block_key(F.shiftright("_pos", _BAND_BITS * j), j) for j in range(_BAND_LEVELS)])
     w = Window.partitionBy(key, "_b").orderBy("_order")
+    # The ranking filter cuts every block to its first few rows before the shuffle.
     heads = placed.where("_side = 1").select(key, "_order", "_row", F.explode_outer(levels).alias("_b")).withColumn(
-        "_n", F.row_number().over(w)).where(F.col("_n") <= first).drop("_n")
+        "_n", F.row_number().over(w)).where(F.col("_n") <= first).groupBy(key, "_b").agg(
+        F.collect_list(F.struct("_order", "_row")).alias("_h"))
     wanted = ends.select(key, "_p", F.explode_outer(aligned_blocks(F.col("_l"), F.col("_r"), _BAND_BITS, _BAND_LEVELS)).alias("_b"))
-    per = Window.partitionBy(key, "_p").orderBy("_order")
-    found = wanted.join(heads, [key, "_b"]).withColumn("_n", F.row_number().over(per)).where(F.col("_n") <= first)
-    lists = found.groupBy(key, "_p").agg(F.sort_array(F.collect_list(F.struct("_order", "_row"))).alias("_m"))
+    lists = wanted.join(heads, [key, "_b"]).groupBy(key, "_p").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("_h"))), 1, first).alias("_m"))
     return ends.join(lists, [key, "_p"], "left").select(
         key, F.col("_p").alias(value), (F.col("_r") - F.col("_l")).alias("match_count"),
         F.coalesce(F.col("_m._row"), F.array()).alias("matches"))

@@ -53,11 +53,8 @@ def mutual_links(candidates: DataFrame) -> DataFrame:
     forward = F.struct("affinity", (-F.col("gap")).alias("g"), (-F.col("b_det")).alias("d"))
     backward = F.struct("affinity", (-F.col("gap")).alias("g"), (-F.col("a_det")).alias("d"))
     return (
-        candidates.withColumn("_f", F.max(forward).over(out_best)).where(forward == F.col("_f"))
-        .withColumn("_keep", F.lit(True)).drop("_f")
-        .unionByName(candidates.withColumn("_keep", F.lit(False)))
-        .withColumn("_b", F.max(backward).over(in_best)).where(F.col("_keep") & (backward == F.col("_b")))
-        .drop("_b", "_keep"))
+        candidates.withColumn("_f", F.max(forward).over(out_best)).withColumn("_b", F.max(backward).over(in_best))
+        .where((forward == F.col("_f")) & (backward == F.col("_b"))).drop("_f", "_b"))
 
 
 def chain_labels(links: DataFrame) -> DataFrame:

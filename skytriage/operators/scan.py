@@ -41,8 +41,11 @@ def _carry(df: DataFrame, keys: list[str], aggs: list[Column], shifted: list[Col
            following: bool) -> DataFrame:
     """Per (key, block), the combined totals of the key's other blocks on one side.
 
-    Only keys that straddle a block edge need a row, so the result has at most two rows
-    per block and is safe to broadcast whatever the number of keys.
+    Only keys that reach into another block need a row. Where the blocks were cut along
+    the keys that is at most two rows per block, whatever the number of keys. Where they
+    were cut along something else (the evaluation ranks once for all its cells) it is
+    blocks times keys, and such keys must be few. Either way the size is bounded by the
+    number of partitions, not by the data, so it is safe to broadcast.
     """
     totals = df.groupBy(*keys, BLOCK).agg(*aggs)
     side = Window.partitionBy(*keys).orderBy(F.desc(BLOCK) if following else F.asc(BLOCK))
