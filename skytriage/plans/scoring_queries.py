@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skytriage.constants import AP_SWEEP, BUCKETS
-from skytriage.operators.evaluation import evaluate, report_cells, score_report, sweep_ap
+from skytriage.operators.evaluation import evaluate, report_cells, run_totals, score_report, sweep_ap
 from skytriage.operators.matching import Cell, match_detections
 from skytriage.plans import sqlbits as s
 from skytriage.plans.fixtures import ctes, view
@@ -89,3 +89,11 @@ _SECTIONS = ", ".join(f"('{sec}', {_REPORT.index(c)})" for sec, c in _LISTED)
        + f" WHERE c.cell = {_REPORT.index(Cell(0.5))}")
 def report(spark, sf):
     return _rounded(score_report(*_inputs(spark, sf)))
+
+
+@query("f11_run_totals", ctes("fx_detections", "fx_frames") + """
+  SELECT (SELECT count(*) FROM fx_frames) AS n_images, (SELECT count(*) FROM fx_detections) AS n_detections,
+         round((SELECT count(*) FROM fx_frames) / 2.5, 6) AS images_per_second""")
+def totals(spark, sf):
+    det, _, frames = _inputs(spark, sf)
+    return run_totals(frames, det, 2.5).withColumn("images_per_second", F.round("images_per_second", 6))

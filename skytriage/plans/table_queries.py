@@ -42,6 +42,12 @@ def folds(spark, sf):
     return classify.clip_folds(view(spark, sf, "fx_observations"), 5)
 
 
+@query("i4_cross_validate")
+def validated(spark, sf):
+    out = classify.cross_validate(labelled(spark, sf), k=3, max_iter=10, learner="forest")
+    return out.select("track_id", "source_clip", "fold", "label", "predicted")
+
+
 _VIDEOS = "SELECT o_orderkey AS video_id, o_custkey % 97 AS owner_id, o_orderdate AS created_at, CAST(round(o_totalprice * 100) AS BIGINT) AS size_bytes FROM {orders}"
 
 
