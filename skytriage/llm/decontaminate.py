@@ -62,8 +62,15 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash; both are set for a hash that is there."""
+    return tuple((hashes * np.uint64(k) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64) for k in (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+
+
+def _maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the bitmap: all that are, and few others."""
+    one, two = _slots(hashes)
+    return bits[one] & bits[two]
 
 
 def _bitmap(values: DataFrame, col: str) -> np.ndarray:
@@ -71,7 +78,7 @@ def _bitmap(values: DataFrame, col: str) -> np.ndarray:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            found = np.unique(np.concatenate(_slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(found)], names=["slot"])
 
     out = np.zeros(1 << BITMAP_BITS, dtype=bool)
@@ -112,7 +119,7 @@ def word_counts(docs: DataFrame, parts: DataFrame) -> tuple[DataFrame, int]:
             for t in batch.column(0):
                 h = _hashes(words_of(t.as_py()))
                 total += len(h)
-                known, n = np.unique(h[bits[_slot(h)]], return_counts=True)
+                known, n = np.unique(h[_maybe(bits, h)], return_counts=True)
                 for w, k in zip(known.view(np.int64).tolist(), n.tolist()):
                     seen[w] = seen.get(w, 0) + k
         yield pa.RecordBatch.from_arrays([pa.array([*seen, -1], pa.int64()), pa.array([*seen.values(), total], pa.int64())], names=["word", "n"])
@@ -166,7 +173,7 @@ def cells(docs: DataFrame, found: DataFrame) -> DataFrame:
                 at, seed = [], []
                 for size in sizes:
                     g = _grams(h, size)
-                    i = np.nonzero(bits[_slot(g)])[0]
+                    i = np.nonzero(_maybe(bits, g))[0]
                     at.append(i), seed.append(g[i].view(np.int64))
                 at, seed = (np.concatenate(at), np.concatenate(seed)) if at else (np.zeros(0, int), np.zeros(0, int))
                 for cell in np.unique(at // CELL):
@@ -239,7 +246,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
     held = durable(cells(docs, found).withColumn("place", F.xxhash64("doc_id", "start", "cell")))
     met = (held.select("place", F.explode("hits").alias("seed")).join(found.select("seed", "item_id", "passage", "words"), "seed")
            .select("place", "item_id", "passage", "words").distinct())
-    pairs = met.join(held.select("doc_id", "start", "cell", "place").distinct(), "place")
+    pairs = met.join(held.select("doc_id", "start", "cell", "place"), "place")
     scored = pairs.withColumn("best", aligner()("words", "cell")).where(F.col("best.score") >= threshold)
     order = F.struct(-F.col("best.score"), F.col("start") + F.col("best.first"), F.col("passage"))
     return (scored.groupBy("doc_id", "item_id")
