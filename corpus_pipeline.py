@@ -23,14 +23,13 @@ LANGUAGE_SCORE = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxic_predicted") == 0).select(*docs.columns)
+    return docs.where(toxicity.score_column(docs, table(spark, sf_dir, "labels"))["score"] < 0.5)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be learned; texts without letters and undecided ones go."""
-    found = language.identify(docs)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    found = language.language_column(docs)
+    return docs.where((found["lang"] != language.UNKNOWN) & (found["score"] >= LANGUAGE_SCORE))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytriage.llm.common import add_vectors, fold
@@ -151,6 +151,11 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, text_col: str
     texts and texts without a letter get ``und`` and score 0, as does every text where no row
     could be learned from. All columns are kept; columns of the two names are replaced.
     """
-    languages, matrix = learn(docs if learn_from is None else learn_from)
-    return docs.withColumn("_language", predictor(languages, matrix)(F.col(text_col))).withColumns({
-        "lang_pred": F.col("_language.lang"), "lang_score": F.col("_language.score")}).drop("_language")
+    found = language_column(docs if learn_from is None else learn_from, text_col)
+    new = {"lang_pred": found["lang"], "lang_score": found["score"]}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), *(c.alias(k) for k, c in new.items()))
+
+
+def language_column(learn_from: DataFrame, text_col: str = "text") -> Column:
+    """Learn, and give ``struct<lang, score>`` of the text of a row as a column."""
+    return predictor(*learn(learn_from))(F.col(text_col))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytriage.llm.common import fold
@@ -192,9 +192,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score of a document in which nothing is saved. All columns of ``docs`` are kept; columns
     of the three names above are replaced. Repeated rows are scored each.
     """
+    found = score_column(docs, labels, id_col, text_col, rows)
+    new = {"toxic_score": found["score"], "toxic_predicted": (found["score"] >= 0.5).cast("int"), "toxic_windows": found["windows"]}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new), *(c.alias(k) for k, c in new.items()))
+
+
+def score_column(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Column:
+    """Train, and give ``struct<score, windows>`` of the text of a row as a column."""
     model = train(training_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows))
-    return docs.withColumn("_toxicity", scorer(model)(F.col(text_col))).withColumns({
-        "toxic_score": F.col("_toxicity.score"), "toxic_predicted": (F.col("_toxicity.score") >= 0.5).cast("int"), "toxic_windows": F.col("_toxicity.windows")}).drop("_toxicity")
+    return scorer(model)(F.col(text_col))
 
 
 def scorer(model: Model):

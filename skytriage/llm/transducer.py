@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from skytriage.llm.pretokens import PreTokens
 
 #: Entries of a generation of a worker's cache of words (two are kept) and of its cache of pairs.
-WORD_CACHE = 1 << 18
-PAIR_CACHE = 1 << 20
+WORD_CACHE = 3 << 16
+PAIR_CACHE = 1 << 19
 #: Longer pre-tokens are streamed without being cached.
 CACHED_LENGTH = 64
 #: Stands for the suffix of a pre-token where tokens are searched; not a byte-level letter.
