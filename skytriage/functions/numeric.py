@@ -26,7 +26,8 @@ def round_py(value: Column, digits: int) -> Column:
     part = product - whole
     up = (part > 0.5) | ((part == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
     rounded = (whole + up.cast("int")) / scale
-    return F.when(mag < 1e12, F.signum(value) * rounded).otherwise(value)
+    # From 2**53 on the scaled value is a whole number already.
+    return F.when(product < float(2**53), F.signum(value) * rounded).otherwise(value)
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -51,7 +52,7 @@ def chance_separation(n_a: Column, n_b: Column) -> Column:
 
     2 / C(a+b, a), built as a running product of small quotients so that it never
     overflows; a class without members gives 1. The product runs over the smaller
-    class and is cut off at 1100 factors, where it is below the smallest double.
+    class. No factor is above 1/2, so after 1100 of them a double holds zero for good.
     """
     small = F.least(n_a, n_b)
     big = F.greatest(n_a, n_b)
@@ -109,15 +110,13 @@ def poisson_interval(count: Column) -> Column:
     """Exact 95% (Garwood) interval on a Poisson count as ``struct(low, high)``.
 
     The chi-square quantile with 2k degrees of freedom is twice the gamma quantile of
-    shape k, so the bounds are gamma quantiles of shape n and n + 1. Above a million
-    events the cube-root form alone is accurate to far less than one event and is
-    returned without polishing.
+    shape k, so the bounds are gamma quantiles of shape n and n + 1. The work per count
+    follows its square root.
     """
     n = count.cast("double")
 
     def bound(shape: Column, prob: float) -> Column:
-        safe = F.greatest(shape, F.lit(1.0))
-        return F.when(safe > 1_000_000, _cube_root_quantile(safe, prob)).otherwise(_gamma_quantile(safe, prob))
+        return _gamma_quantile(F.greatest(shape, F.lit(1.0)), prob)
 
     low = F.when(count == 0, F.lit(0.0)).otherwise(bound(n, 0.025))
     high = bound(n + 1, 0.975)

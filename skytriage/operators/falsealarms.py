@@ -16,9 +16,9 @@ def confidence_bands() -> list[tuple[str, float, float]]:
 
 def footage(frames: DataFrame, videos: DataFrame, keys: list[str] = []) -> DataFrame:
     """Frames and seconds per group: each clip counts at its own frame rate (F8)."""
-    per_clip = frames.groupBy("source_video").agg(F.count("*").alias("n")).join(videos, "source_video")
+    per_clip = frames.groupBy("source_video").agg(F.count("*").alias("n")).join(videos, "source_video", "left")
     rate = F.when(F.col("fps") > 0, F.col("fps")).otherwise(
-        F.raise_error(F.lit("fps must be positive")).cast("double"))
+        F.raise_error(F.concat(F.lit("no positive fps for the frames of "), F.col("source_video").cast("string"))).cast("double"))
     total = per_clip.groupBy(*keys).agg(F.sum("n").alias("n_frames"), F.sum(F.col("n") / rate).alias("duration_seconds"))
     return total.withColumn("effective_fps", F.col("n_frames") / F.col("duration_seconds"))
 

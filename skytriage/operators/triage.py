@@ -88,8 +88,10 @@ def query_history(tracks: DataFrame, history: DataFrame, now: dt.datetime, tol:
                                 "px": round_py(F.col("median_pixels_on_target"), 1)})
     found = band_matches(tracks, shown, "site_id", "median_pixels_on_target", tol, "ordinal",
                          ["track_id", "observed_at", "px", "prior_verdict"])
-    return tracks.join(found, ["site_id", "median_pixels_on_target"]).withColumns({
-        "window_days": F.lit(days), "truncated": F.col("match_count") > 10})
+    # Every track is answered: one without a site or a size matches nothing.
+    out = tracks.join(found, ["site_id", "median_pixels_on_target"], "left").withColumns({
+        "match_count": F.coalesce("match_count", F.lit(0)), "matches": F.coalesce("matches", F.array())})
+    return out.withColumns({"window_days": F.lit(days), "truncated": F.col("match_count") > 10})
 
 
 def evidence_bounds(tracks: DataFrame, clips: DataFrame | None = None, pre: float = 3.0, post: float = 3.0) -> DataFrame:

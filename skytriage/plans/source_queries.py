@@ -145,7 +145,8 @@ def prepared(spark, sf):
     return coco.prepare_splits(frames, view(spark, sf, "fx_ground_truth"), grouped_split(videos(spark, sf), 7), frames.select("file_name"), scratch(spark))
 
 
-_DECISION = """SELECT user_id % 20 AS run, event_id, value, event_id % 4 <> 0 AS has_call, event_id % 5 <> 0 AS available, value / 10 AS secs, event_id % 999 = 5 AS synthetic FROM {events}"""
+# Runs of at most 200 decisions, whatever the size of the table.
+_DECISION = """SELECT CAST(floor(event_id / 200) AS BIGINT) AS run, event_id, value, event_id % 4 <> 0 AS has_call, event_id % 5 <> 0 AS available, value / 10 AS secs, event_id % 999 = 5 AS synthetic FROM {events}"""
 
 
 def _write_runs(spark, sf, path):
@@ -155,27 +156,39 @@ def _write_runs(spark, sf, path):
     feats = F.struct(*[(v + i).alias(n) for i, n in enumerate(names)])
     result = F.struct(F.col("available").alias("features_available"), F.col("secs").alias("duration_seconds"), F.lit(9).alias("n_observations"), v.alias("median_pixels_on_target"), feats.alias("features"))
     call = F.struct(F.lit("analyze_track").alias("tool_name"), F.col("has_call").alias("ok"), result.alias("result"))
-    rec = F.struct(F.col("event_id").cast("string").alias("track_id"), F.concat(F.lit("job"), F.col("run").cast("string")).alias("job_id"), "synthetic", F.array(call).alias("tool_calls"))
-    # One JSON list per run, the layout of a run folder.
-    e.groupBy("run").agg(F.to_json(F.collect_list(rec)).alias("value")).write.partitionBy("run").text(path)
+    rec = F.struct(F.col("event_id").cast("string").alias("track_id"), F.concat(F.lit("job"), (F.col("event_id") % 7).cast("string")).alias("job_id"), "synthetic", F.array(call).alias("tool_calls"))
+    # One JSON list per run, the layout of a run folder; the last run was cut off while it was written.
+    listed = e.groupBy("run").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("event_id", rec.alias("rec")))), lambda x: x["rec"])).alias("value"))
+    cut = e.agg(F.max("run").alias("run")).select((F.col("run") + 1).alias("run"), F.lit('[{"track_id": "1", "tool_calls": [{"tool_name": "ana').alias("value"))
+    listed.unionByName(cut).write.partitionBy("run").text(path)
+
+
+def _labels(spark, sf, label):
+    """Every run comes from a clip named like it."""
+    run = spark.sql(_DECISION, events=table(spark, sf, "events")).select("run").distinct()
+    return run.select(F.concat(F.lit("run="), F.col("run").cast("string")).alias("run_dir"), F.col("run").cast("string").alias("source_clip"), label.alias("label"), F.lit("someone").alias("asserted_by"))
 
 
 def _ingested(spark, sf):
     path = scratch(spark)
     _write_runs(spark, sf, path)
-    decisions = runs.read_decisions(spark, f"{path}/*/*.txt")
-    labels = table(spark, sf, "customer").where("c_custkey < 20").select(
-        F.concat(F.lit("run="), F.col("c_custkey").cast("string")).alias("run_dir"), F.col("c_custkey").cast("string").alias("source_clip"),
-        F.when(F.col("c_custkey") % 2 == 0, "drone").otherwise("bird").alias("label"), F.lit("someone").alias("asserted_by"))
-    return runs.ingest_runs(decisions, labels)
+    decisions, _ = runs.read_decisions(spark, f"{path}/*/*.txt")
+    return runs.ingest_runs(decisions, _labels(spark, sf, F.when(F.col("run") % 2 == 0, "drone").otherwise("bird")))
+
+
+@query("a14_bad_runs", f"WITH d AS ({_DECISION.format(events='events')}) SELECT 'run=' || (max(run) + 1) AS run_dir, 53 AS n_chars FROM d")
+def bad_runs(spark, sf):
+    path = scratch(spark)
+    _write_runs(spark, sf, path)
+    return runs.read_decisions(spark, f"{path}/*/*.txt")[1].select("run_dir", F.length(F.rtrim("value")).alias("n_chars"))
 
 
 _STATE = "CASE WHEN NOT (has_call AND available) THEN 'without_features' WHEN secs < 2 THEN 'too_short' ELSE 'kept' END"
 
 
 @query("a14_h1_ingest_runs", f"""WITH d AS ({_DECISION.format(events='events')}), s AS (SELECT *, {_STATE} AS st FROM d),
-    r AS (SELECT run, bool_or(synthetic) AS syn FROM d GROUP BY 1)
-  SELECT CAST(event_id AS VARCHAR) AS track_id, CAST(run AS VARCHAR) AS source_clip, CASE WHEN run % 2 = 0 THEN 'drone' ELSE 'bird' END AS label, 'job' || run AS run_id, secs AS duration_seconds,
+    r AS (SELECT run, bool_or(synthetic) AS syn, 'job' || (min(event_id) % 7) AS run_id FROM d GROUP BY 1)
+  SELECT CAST(event_id AS VARCHAR) AS track_id, CAST(run AS VARCHAR) AS source_clip, CASE WHEN run % 2 = 0 THEN 'drone' ELSE 'bird' END AS label, run_id, secs AS duration_seconds,
          round(value, 6) AS mean_speed, round(value + 8, 6) AS scale_change_rate, syn AS synthetic FROM s JOIN r USING (run) WHERE st = 'kept'""")
 def ingested(spark, sf):
     t, _ = _ingested(spark, sf)
@@ -185,7 +198,7 @@ def ingested(spark, sf):
 
 @query("h1_run_dispositions", f"""WITH d AS ({_DECISION.format(events='events')}), s AS (SELECT *, {_STATE} AS st FROM d)
   SELECT 'run=' || run AS run_dir, count(*) AS n_decisions, count(*) FILTER (st = 'kept') AS n_kept, count(*) FILTER (st = 'without_features') AS n_without_features,
-         count(*) FILTER (st = 'too_short') AS n_too_short, bool_or(synthetic) AS synthetic, 'job' || run AS run_id FROM s GROUP BY run""")
+         count(*) FILTER (st = 'too_short') AS n_too_short, bool_or(synthetic) AS synthetic, 'job' || (min(event_id) % 7) AS run_id FROM s GROUP BY run""")
 def dispositions(spark, sf):
     return _ingested(spark, sf)[1]
 

@@ -8,7 +8,7 @@ from skytriage.operators.association import TrackerConfig
 from skytriage.plans.fixtures import ctes, table, view
 from skytriage.plans.labelled_queries import labelled
 from skytriage.plans.registry import query
-from skytriage.plans.source_queries import _DECISION, _STATE, _write_runs, scratch
+from skytriage.plans.source_queries import _DECISION, _STATE, _labels, _write_runs, scratch
 from skytriage.sources import runs
 from skytriage.streaming import flows
 from skytriage.streaming.tracker import stream_tracks
@@ -148,8 +148,7 @@ def once(spark, sf):
 def ingest_stream(spark, sf):
     path = scratch(spark)
     _write_runs(spark, sf, f"{path}/runs")
-    labels = table(spark, sf, "customer").where("c_custkey < 20").select(
-        F.concat(F.lit("run="), F.col("c_custkey").cast("string")).alias("run_dir"), F.col("c_custkey").cast("string").alias("source_clip"), F.lit("drone").alias("label"), F.lit("x").alias("asserted_by"))
+    labels = _labels(spark, sf, F.lit("drone"))
     flows.stream_ingest_runs(spark, f"{path}/runs/*/*.txt", labels, f"{path}/store", f"{path}/log").awaitTermination()
     return runs.load_tracks(spark, f"{path}/store")[0].select("track_id", "source_clip")
 

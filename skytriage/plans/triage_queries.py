@@ -79,7 +79,7 @@ def zones(spark, sf):
 # --- J5, J6, J7 -----------------------------------------------------------------
 @query("j5_query_history", """
   WITH h AS (SELECT user_id % 5 AS site_id, event_id, ts, value FROM events WHERE ts > TIMESTAMP '2024-03-01 12:00:00' - INTERVAL '31' DAY),
-  t AS (SELECT o_orderkey AS asked, o_custkey % 6 AS site_id, o_totalprice / 5000.0 AS px FROM orders),
+  t AS (SELECT o_orderkey AS asked, CASE WHEN o_orderkey % 11 <> 3 THEN o_custkey % 6 END AS site_id, CASE WHEN o_orderkey % 13 <> 4 THEN o_totalprice / 5000.0 END AS px FROM orders),
   m AS (SELECT t.asked, h.event_id FROM t JOIN h ON h.site_id = t.site_id AND h.value BETWEEN t.px - 8 AND t.px + 8),
   g AS (SELECT asked, count(*) AS n, list_slice(list_sort(list(event_id)), 1, 10) AS firsts FROM m GROUP BY asked)
   SELECT t.asked, t.site_id, coalesce(g.n, 0) AS match_count, coalesce(array_to_string(g.firsts, ','), '') AS firsts, coalesce(g.n, 0) > 10 AS truncated
@@ -88,8 +88,10 @@ def history(spark, sf):
     e = table(spark, sf, "events").select(
         (F.col("user_id") % 5).alias("site_id"), F.col("event_id").alias("ordinal"), F.col("event_id").cast("string").alias("track_id"),
         F.col("ts").alias("observed_at"), F.col("value").alias("median_pixels_on_target"), F.col("event_type").alias("verdict"))
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("asked"), (F.col("o_custkey") % 6).alias("site_id"),
-                                          (F.col("o_totalprice") / 5000.0).alias("median_pixels_on_target"))
+    # Some tracks have no site, some no size.
+    asked = F.col("o_orderkey")
+    t = table(spark, sf, "orders").select(asked.alias("asked"), F.when(asked % 11 != 3, F.col("o_custkey") % 6).alias("site_id"),
+                                          F.when(asked % 13 != 4, F.col("o_totalprice") / 5000.0).alias("median_pixels_on_target"))
     out = tr.query_history(t, e, dt.datetime(2024, 3, 1, 12, tzinfo=dt.timezone.utc))
     return out.select("asked", "site_id", "match_count", F.array_join(F.col("matches.track_id"), ",").alias("firsts"), "truncated")
 

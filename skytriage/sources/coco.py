@@ -17,7 +17,8 @@ _DOCUMENT = f"images array<struct<{_IMAGE}>>, annotations array<struct<{_ANNOTAT
 def to_coco(frames: DataFrame, gt: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) with ids counted up in (video, frame, object) order.
 
-    The numbering comes from the block scan, so no task sees the whole set.
+    The numbering comes from the block scan, so no task sees the whole set. A box on a
+    frame that is not in ``frames`` stops the job.
     """
     named = "file_name" if "file_name" in frames.columns else None
     made = F.format_string("%s/%06d.jpg", F.col("source_video").cast("string"), F.col("frame_index"))
@@ -26,8 +27,9 @@ def to_coco(frames: DataFrame, gt: DataFrame, videos: DataFrame) -> tuple[DataFr
     images = numbered.select(
         (F.col("_i") + 1).alias("id"), (F.coalesce(F.col(named), made) if named else made).alias("file_name"), "width", "height", "source_video", "frame_index")
     boxes = gt if "track_id" in gt.columns else gt.withColumn("track_id", F.lit(None).cast("long"))
-    placed = ranked(boxes.join(images.select("source_video", "frame_index", F.col("id").alias("image_id")), ["source_video", "frame_index"]),
-                    [], [F.col("image_id"), F.col("gt_index")], "_i")
+    known = boxes.join(images.select("source_video", "frame_index", F.col("id").alias("image_id")), ["source_video", "frame_index"], "left").withColumn(
+        "image_id", F.coalesce("image_id", F.raise_error(F.concat_ws(" ", F.lit("a box on a frame that is not listed:"), F.col("source_video").cast("string"), F.col("frame_index").cast("string"))).cast("long")))
+    placed = ranked(known, [], [F.col("image_id"), F.col("gt_index")], "_i")
     w = xyxy_to_xywh(corners())
     ids = F.create_map(*[F.lit(x) for kv in COCO_CATEGORY_IDS.items() for x in kv])
     annotations = placed.select(

@@ -11,19 +11,32 @@ from skytriage.constants import FEATURES, MIN_TRACK_SECONDS
 # Names in a decision record -> names here. Fixed values; all others agree.
 RECORD_NAMES = {"mean_speed": "mean_speed_px_per_frame"}
 
-DECISION_SCHEMA = (
-    "track_id string, job_id string, site_id string, verdict string, attention string, uncertainty string, rule_id string,"
-    " synthetic boolean, created_at string, tool_calls array<struct<tool_name:string,ok:boolean,arguments:string,result:string,error:string>>")
+_DECISIONS = (
+    "array<struct<track_id:string,job_id:string,site_id:string,verdict:string,attention:string,uncertainty:string,rule_id:string,"
+    "synthetic:boolean,created_at:string,tool_calls:array<struct<tool_name:string,ok:boolean,arguments:string,result:string,error:string>>>>")
 _ANALYSIS = ("features_available boolean, duration_seconds double, n_observations bigint, median_pixels_on_target double, features struct<"
              + ",".join(f"{RECORD_NAMES.get(f, f)}:double" for f in FEATURES) + ">")
 TRACK_SCHEMA = ("track_id string, source_clip string, label string, label_basis string, asserted_by string, run_id string, duration_seconds double,"
                 " n_observations bigint, median_pixels_on_target double, synthetic boolean, features struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">")
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decisions of all runs matching ``path`` (a list of records per run folder), with ``run_dir``."""
-    return spark.read.json(path, multiLine=True, schema=DECISION_SCHEMA).withColumn(
-        "run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+def parse_decisions(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions, bad files) from run files read whole, a stream or a table of ``path, value``.
+
+    Decisions carry ``run_dir`` and their ``position`` in the list. A file that is no list of
+    records, or holds one without a track id, counts in none of its parts; it comes back with
+    its path and text.
+    """
+    read = files.withColumn("records", F.from_json("value", _DECISIONS))
+    broken = F.col("records").isNull() | F.exists("records", lambda r: r.isNull() | r["track_id"].isNull())
+    run_dir = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    good = read.where(~broken).select(run_dir.alias("run_dir"), F.posexplode("records").alias("position", "r")).select("r.*", "run_dir", "position")
+    return good, read.where(broken).select(run_dir.alias("run_dir"), "path", "value")
+
+
+def read_decisions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(decisions, bad files) of all runs matching ``path``; see :func:`parse_decisions`."""
+    return parse_decisions(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def ingest_runs(decisions: DataFrame, labels: DataFrame, min_seconds: float = MIN_TRACK_SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -32,8 +45,10 @@ def ingest_runs(decisions: DataFrame, labels: DataFrame, min_seconds: float = MI
     ``labels`` has ``run_dir, source_clip, label, asserted_by``: what somebody said about
     the clip, which is why every track gets the basis ``clip_provenance``. A record with
     features but without one of the nine stops the job. One synthetic record marks its
-    whole run.
+    whole run, and the first record names it.
     """
+    if "position" not in decisions.columns:
+        decisions = decisions.withColumn("position", F.lit(0))
     call = F.get(F.filter("tool_calls", lambda c: (c["tool_name"] == "analyze_track") & c["ok"] & c["result"].isNotNull()), F.lit(0))
     read = decisions.withColumn("a", F.from_json(call["result"], _ANALYSIS))
     secs = F.coalesce("a.duration_seconds", F.lit(0.0))
@@ -43,7 +58,7 @@ def ingest_runs(decisions: DataFrame, labels: DataFrame, min_seconds: float = MI
         F.count("*").alias("n_decisions"), F.count_if(F.col("disposition") == "kept").alias("n_kept"),
         F.count_if(F.col("disposition") == "without_features").alias("n_without_features"),
         F.count_if(F.col("disposition") == "too_short").alias("n_too_short"),
-        F.coalesce(F.bool_or("synthetic"), F.lit(False)).alias("synthetic"), F.min("job_id").alias("run_id"))
+        F.coalesce(F.bool_or("synthetic"), F.lit(False)).alias("synthetic"), F.min_by("job_id", F.struct("position", "job_id")).alias("run_id"))
 
     def feature(name: str):
         col = F.col(f"a.features.{RECORD_NAMES.get(name, name)}")
@@ -59,7 +74,7 @@ def ingest_runs(decisions: DataFrame, labels: DataFrame, min_seconds: float = MI
 
 
 def load_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(tracks, bad rows with their file) from JSON lines; blank lines are skipped."""
+    """(tracks, bad rows with their file) from JSON lines; blank lines are skipped, an absent store is empty."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).where("line <> ''")
     parsed = lines.withColumn("t", F.from_json("line", TRACK_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     ok = F.col("t._corrupt").isNull() & F.col("t.track_id").isNotNull()
@@ -92,21 +107,20 @@ def site_dims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     """(sites, flights, restrictions) from a registry document, JSON or YAML.
 
     The ordinal keeps the order in which a site lists its intervals. A flight has to end
-    after it starts; restrictions are taken as they are. YAML has no reader in Spark, so
+    after it starts; restrictions are taken as they are; a site without a zone class is
+    unrestricted. YAML has no reader in Spark, so
     that one small configuration file is turned into JSON first.
     """
     if path.endswith((".yaml", ".yml")):
         import yaml
 
-        head = spark.read.format("binaryFile").load(path).select("length", "content").first()
-        if head["length"] > 1 << 20:
-            raise ValueError("site registry above 1 MiB; convert it to JSON")
+        head = spark.read.format("binaryFile").load(path).select("content").first()
         text = json.dumps(yaml.safe_load(head["content"].decode("utf-8")), default=lambda v: v.isoformat())
         doc = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", _SITE).alias("d")).select("d.*")
     else:
         doc = spark.read.json(path, multiLine=True, schema=_SITE)
     site = doc.select(F.explode("sites").alias("s")).select("s.*")
-    sites = site.select("site_id", "name", "zone_class")
+    sites = site.select("site_id", "name", F.coalesce("zone_class", F.lit("unrestricted")).alias("zone_class"))
     ts = lambda c: F.to_timestamp(F.col(c)).alias(c.split(".")[-1])
     flights = site.select("site_id", F.posexplode("authorized_flights").alias("ordinal", "f")).select(
         "site_id", "ordinal", "f.flight_id", "f.operator", ts("f.starts_at"), ts("f.ends_at"), "f.notes")

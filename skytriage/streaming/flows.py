@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from skytriage.functions.numeric import poisson_interval
 from skytriage.operators.features import track_features, track_summary
 from skytriage.operators.triage import analyze_tracks, decide
-from skytriage.sources.runs import DECISION_SCHEMA, append_tracks, ingest_runs
+from skytriage.sources.runs import append_tracks, ingest_runs, parse_decisions
 
 
 def job_progress(frames: DataFrame, totals: DataFrame | None = None, every: int = 30) -> DataFrame:
@@ -98,14 +98,19 @@ def latest_decisions(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def stream_ingest_runs(spark: SparkSession, path: str, labels: DataFrame, store: str, checkpoint: str,
-                       report: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """New run folders under ``path`` into the track store; one bad file does not stop the rest (K6)."""
-    files = (spark.readStream.schema(DECISION_SCHEMA).option("multiLine", True).option("ignoreCorruptFiles", True).json(path)
-             .withColumn("run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)))
+                       report: Callable[[DataFrame, int], None] | None = None, quarantine: str | None = None) -> StreamingQuery:
+    """New run folders under ``path`` into the track store (K6).
+
+    A bad file does not stop the rest: it is written, with path and text, to the folder
+    ``quarantine`` (by default next to the store), one sub-folder per batch.
+    """
+    bad_path = quarantine or f"{store.rstrip('/')}-quarantine"
+    files = spark.readStream.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        usable = batch.where("track_id IS NOT NULL")
-        tracks, runs = ingest_runs(usable, labels)
+        good, bad = parse_decisions(batch)
+        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
+        tracks, runs = ingest_runs(good, labels)
         append_tracks(tracks, store, first=not _exists(batch.sparkSession, store))
         if report is not None:
             report(runs, batch_id)

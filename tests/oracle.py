@@ -27,7 +27,7 @@ def _norm(v):
     if isinstance(v, bool) or v is None:
         return str(v)
     if isinstance(v, int):
-        return f"{float(v):.9g}" if abs(v) < 2**53 else str(v)
+        return str(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if hasattr(v, "asDict"):
