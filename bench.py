@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "b9_iou_pairs", "c2_c3_merge_tiles_nms", "d2_link_detections", "d3_d4_track_videos", "d5_track_summary",
+    "b9_iou_pairs", "c2_c3_merge_tiles_nms", "d2_link_detections", "d5_track_summary",
     "e2_e13_track_features", "f1_f2_match_detections", "f3_f4_evaluate_dataset", "f6_score_report", "f7_f9_false_alarm_rate_per_clip",
     "g2_census_counts", "g3_track_census", "h3_feature_ranges", "j3_match_authorization", "j5_query_history", "j8_j9_decide",
 ]

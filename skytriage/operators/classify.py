@@ -7,6 +7,7 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from skytriage.constants import FEATURES, MIN_TRACKS_TO_TRAIN
@@ -36,10 +37,12 @@ def _pipeline(labels: list[str], seed: int, max_iter: int, learner: str) -> Pipe
                             IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)])
 
 
-def fit_motion_arm(tracks: DataFrame, seed: int = 1337, max_iter: int = 200, learner: str = "boosted") -> tuple[PipelineModel | None, DataFrame]:
+def fit_motion_arm(tracks: DataFrame, seed: int = 1337, max_iter: int = 200, learner: str = "forest") -> tuple[PipelineModel | None, DataFrame]:
     """(model or None, report). A refusal is a result, not an error.
 
-    Boosted trees are binary in Spark, so classes are told apart one against the rest.
+    The default is a forest of ``max_iter`` trees, which knows any number of classes and
+    gives each a probability. ``boosted`` gives as many rounds of boosted trees; these are
+    binary in Spark, so classes are told apart one against the rest, without probabilities.
     ``tracks`` has ``label, source_clip`` and the nine features.
     """
     report = fit_gate(tracks)
@@ -50,8 +53,23 @@ def fit_motion_arm(tracks: DataFrame, seed: int = 1337, max_iter: int = 200, lea
 
 
 def predict(model: PipelineModel, tracks: DataFrame) -> DataFrame:
-    """Tracks with ``predicted``; with a forest also ``probability`` per class."""
-    return model.transform(tracks).drop("inputs", "rawPrediction", "target", "prediction")
+    """Tracks with ``predicted``; with a forest also ``probability``, a map by class, and ``confidence``, its largest value."""
+    out = model.transform(tracks)
+    if "probability" in out.columns:
+        labels = model.stages[0].labels
+        p = F.slice(vector_to_array("probability"), 1, len(labels))
+        out = out.withColumn("probability", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p)).withColumn(
+            "confidence", F.array_max(F.map_values("probability")))
+    return out.drop("inputs", "rawPrediction", "target", "prediction")
+
+
+def training_report(model: PipelineModel, tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tracks and clips per class, share of each feature in the splits of the trees)."""
+    per_class = tracks.groupBy("label").agg(F.count("*").alias("n_tracks"), F.countDistinct("source_clip").alias("n_clips"))
+    trees = model.stages[2]
+    parts = getattr(trees, "models", [trees])
+    shares = [sum(float(m.featureImportances[k]) for m in parts) / len(parts) for k in range(len(FEATURES))]
+    return per_class, tracks.sparkSession.createDataFrame(list(zip(FEATURES, shares)), "feature string, share double")
 
 
 def permutation_importance(model: PipelineModel, tracks: DataFrame, repeats: int = 5, seed: int = 1337) -> DataFrame:
@@ -89,7 +107,7 @@ def clip_folds(tracks: DataFrame, k: int, seed: int = 1337) -> DataFrame:
     return ranked(clips.withColumn("_h", key), [], [F.col("_h")]).select("source_clip", (F.col("position") % k).cast("int").alias("fold"))
 
 
-def cross_validate(tracks: DataFrame, k: int = 5, seed: int = 1337, max_iter: int = 200, learner: str = "boosted") -> DataFrame:
+def cross_validate(tracks: DataFrame, k: int = 5, seed: int = 1337, max_iter: int = 200, learner: str = "forest") -> DataFrame:
     """Out-of-fold predictions; all tracks of a clip are held out together."""
     folded = durable(tracks.join(clip_folds(tracks, k, seed), "source_clip"))
     out = None

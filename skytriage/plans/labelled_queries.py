@@ -45,13 +45,17 @@ def ranges(spark, sf):
 
 
 # Clips hold few tracks each, so ranges per (clip, class) do come out disjoint.
+_PER_CLIP = " UNION ALL ".join(f"SELECT '{f}@' || source_clip AS feature, label, {f} AS value FROM tracks" for f in FEATURES)
+
+
 @query("h4_separated_pairs", f"""{_LABELLED},
-    long AS (SELECT 'mean_speed@' || source_clip AS feature, label, mean_speed AS value FROM tracks),
+    long AS ({_PER_CLIP}),
     ranges AS (SELECT feature, label, min(value) AS low, max(value) AS high FROM long GROUP BY 1, 2), {_PAIRS} SELECT * FROM pairs""")
 def pairs(spark, sf):
-    per_clip = labelled(spark, sf).groupBy(
-        F.concat(F.lit("mean_speed@"), F.col("source_clip").cast("string")).alias("feature"), "label").agg(
-        F.min("mean_speed").alias("low"), F.max("mean_speed").alias("high"))
+    every = F.inline(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("value")) for f in FEATURES]))
+    per_clip = labelled(spark, sf).select("source_clip", "label", every).groupBy(
+        F.concat_ws("@", "name", F.col("source_clip").cast("string")).alias("feature"), "label").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"))
     return sp.separated_pairs(per_clip)
 
 

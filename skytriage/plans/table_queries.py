@@ -9,6 +9,7 @@ from skytriage.plans.fixtures import ctes, table, view
 from skytriage.plans.labelled_queries import labelled
 from skytriage.plans.registry import query
 from skytriage.plans.source_queries import _DECISION, _STATE, _labels, _write_runs, scratch
+from skytriage.session import durable
 from skytriage.sources import runs
 from skytriage.streaming import flows
 from skytriage.streaming.tracker import stream_tracks
@@ -24,28 +25,57 @@ def gate(spark, sf):
 
 @query("i1_i2_fit_predict")
 def fitted(spark, sf):
-    t = labelled(spark, sf).cache()
-    model, _ = classify.fit_motion_arm(t, max_iter=3)
+    t = durable(labelled(spark, sf))
+    model, _ = classify.fit_motion_arm(t)
     return classify.predict(model, t).select("track_id", "label", "predicted")
 
 
 @query("i3_permutation_importance")
 def importance(spark, sf):
-    t = labelled(spark, sf).cache()
-    model, _ = classify.fit_motion_arm(t, max_iter=20, learner="forest")
+    t = durable(labelled(spark, sf))
+    model, _ = classify.fit_motion_arm(t)
     return classify.permutation_importance(model, t)
 
 
+_SEPARABLE = ctes("fx_observations") + """, t AS (SELECT track_id, label, source_clip, count(*) AS n FROM fx_observations GROUP BY 1, 2, 3)"""
+
+
+def _separable(spark, sf):
+    """One feature tells the classes apart by far, the others are constant: every right classifier agrees."""
+    t = view(spark, sf, "fx_observations").groupBy("track_id", "label", "source_clip").agg(F.count("*").alias("n"))
+    speed = F.when(F.col("label") == "bird", 100.0).when(F.col("label") == "drone", 200.0).otherwise(300.0) + F.col("n") % 7
+    return durable(t.select("track_id", "label", "source_clip", *[(speed if f == "mean_speed" else F.lit(1.0)).alias(f) for f in FEATURES]))
+
+
+@query("i2_separable_classes", f"{_SEPARABLE} SELECT track_id, label, label AS predicted, true AS sure, true AS adds_up FROM t")
+def separable(spark, sf):
+    t = _separable(spark, sf)
+    out = classify.predict(classify.fit_motion_arm(t)[0], t)
+    total = F.aggregate(F.map_values("probability"), F.lit(0.0), lambda a, x: a + x)
+    return out.select("track_id", "label", "predicted", ((F.col("confidence") > 0.4) & (F.col("confidence") == F.col("probability")[F.col("predicted")])).alias("sure"),
+                      (F.abs(total - 1) < 1e-6).alias("adds_up"))
+
+
+@query("i3_lone_feature", "SELECT feature, feature <> 'mean_speed' AS is_zero, feature = 'mean_speed' AS is_largest FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature) WHERE (SELECT count(*) FROM events) > 0")
+def lone_feature(spark, sf):
+    t = _separable(spark, sf)
+    imp = durable(classify.permutation_importance(classify.fit_motion_arm(t)[0], t))
+    top = imp.agg(F.max("importance").alias("top")).withColumn("_one", F.lit(1))
+    return imp.withColumn("_one", F.lit(1)).join(top, "_one").select("feature", (F.col("importance") == 0).alias("is_zero"), ((F.col("importance") == F.col("top")) & (F.col("top") > 0.3)).alias("is_largest"))
+
+
 @query("i4_clip_folds", ctes("fx_observations") + """, c AS (SELECT DISTINCT source_clip FROM fx_observations)
   SELECT source_clip, CAST((row_number() OVER (ORDER BY sha256('1337:' || CAST(source_clip AS VARCHAR))) - 1) % 5 AS INT) AS fold FROM c""")
 def folds(spark, sf):
     return classify.clip_folds(view(spark, sf, "fx_observations"), 5)
 
 
-@query("i4_cross_validate")
+@query("i4_cross_validate", ctes("fx_observations") + """, c AS (SELECT DISTINCT source_clip FROM fx_observations),
+    f AS (SELECT source_clip, CAST((row_number() OVER (ORDER BY sha256('1337:' || CAST(source_clip AS VARCHAR))) - 1) % 5 AS INT) AS fold FROM c)
+  SELECT DISTINCT track_id, source_clip, fold, label, label AS predicted FROM fx_observations JOIN f USING (source_clip)""")
 def validated(spark, sf):
-    out = classify.cross_validate(labelled(spark, sf), k=3, max_iter=10, learner="forest")
-    return out.select("track_id", "source_clip", "fold", "label", "predicted")
+    """Every track is predicted once, by a model that saw no track of its clip."""
+    return classify.cross_validate(_separable(spark, sf)).select("track_id", "source_clip", "fold", "label", "predicted")
 
 
 _VIDEOS = "SELECT o_orderkey AS video_id, o_custkey % 97 AS owner_id, o_orderdate AS created_at, CAST(round(o_totalprice * 100) AS BIGINT) AS size_bytes FROM {orders}"
@@ -128,14 +158,33 @@ def alarm_stream(spark, sf):
     return out.select("start", "n_false_alarms", "n_frames", F.round("seconds", 6).alias("seconds"), F.round("per_hour", 4).alias("per_hour"))
 
 
-@query("k4_reevaluate")
+_KIND = "user_id % 8"
+
+
+# Eight kinds of tracks, each of which another rule settles: authorised, thinned out, hovering, or moving evenly with all states of the classifier.
+@query("k4_reevaluate", f"""WITH o AS (SELECT user_id, {_KIND} AS kind, count(*) AS n FROM events WHERE {_KIND} <> 1 OR event_id % 16 = 0 GROUP BY 1, 2),
+    r AS (SELECT *, CASE WHEN kind = 0 THEN 'dismiss.authorized_flight' WHEN n < 8 THEN 'watch.track_too_short' WHEN kind IN (1, 3) THEN 'escalate.sustained_hover' WHEN kind IN (2, 4) THEN 'uncertain.no_classifier'
+      WHEN kind = 5 THEN 'uncertain.classifier_undetermined' WHEN kind = 6 THEN 'uncertain.classifier_low_confidence' WHEN user_id % 16 = 7 THEN 'dismiss.classifier_non_drone' ELSE 'escalate.unexplained' END AS rule_id FROM o)
+  SELECT 't' || user_id AS track_id, n AS n_observations, rule_id, CASE WHEN rule_id LIKE 'dismiss%' THEN 'dismiss' WHEN rule_id LIKE 'watch%' THEN 'watch' ELSE 'escalate' END AS verdict,
+         CASE WHEN rule_id LIKE 'escalate%' THEN CASE WHEN user_id % 3 = 0 THEN 'immediate' ELSE 'prompt' END WHEN rule_id LIKE 'uncertain%' THEN 'prompt' ELSE 'routine' END AS attention FROM r""")
 def reevaluated(spark, sf):
     path = scratch(spark)
-    obs = _event_stream(spark, sf).select(
+    kind = F.expr(_KIND)
+    obs = _event_stream(spark, sf).where((kind != 1) | (F.col("event_id") % 16 == 0)).select(
         F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("track_id"), F.col("event_id").alias("frame_index"),
-        F.col("value").alias("x1"), F.lit(0.0).alias("y1"), (F.col("value") + 9).alias("x2"), F.lit(9.0).alias("y2"))
-    flows.stream_reevaluate(obs, f"{path}/history", f"{path}/out", f"{path}/log").awaitTermination()
-    return flows.latest_decisions(spark, f"{path}/out")
+        F.when(kind.isin(1, 3), 7.0).otherwise(F.col("event_id") * 5.0).alias("x1")).select(
+        "track_id", "frame_index", "x1", F.lit(0.0).alias("y1"), (F.col("x1") + 9).alias("x2"), F.lit(9.0).alias("y2"))
+
+    def context(ids, batch_id):
+        user = F.substring("track_id", 2, 20).cast("long")
+        kind = user % 8
+        return ids.select(
+            "track_id", (kind == 0).alias("authorized"), F.when(kind == 0, "f1").alias("flight_id"), F.lit(True).alias("site_known"), F.when(user % 3 == 0, "restricted").otherwise("unrestricted").alias("zone_class"),
+            (kind >= 5).alias("classifier_trained"), F.when(user % 16 == 7, "aircraft").when(user % 16 == 15, "drone").otherwise("bird").alias("classifier_label"),
+            F.when(kind == 6, 0.1).otherwise(0.99).alias("classifier_confidence"), F.when(kind == 5, 0.0).otherwise(0.9).alias("interval_low"), F.when(kind == 5, 1.0).otherwise(0.95).alias("interval_high"))
+
+    flows.stream_reevaluate(obs, f"{path}/history", f"{path}/out", f"{path}/log", context=context).awaitTermination()
+    return flows.latest_decisions(spark, f"{path}/out").select("track_id", "n_observations", "rule_id", "verdict", "attention")
 
 
 @query("k5_once_per_track", "SELECT user_id AS track_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")

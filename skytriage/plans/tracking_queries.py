@@ -96,7 +96,7 @@ def _affinity_sql(a: str, b: str) -> str:
 _CAND = ctes("fx_detections") + f""",
     cand AS (SELECT a.source_video, a.frame_index AS a_frame, a.det_index AS a_det, b.frame_index AS b_frame, b.det_index AS b_det,
                     b.frame_index - a.frame_index AS gap, {_affinity_sql('a', 'b')} AS aff
-             FROM fx_detections a JOIN fx_detections b ON a.source_video = b.source_video AND b.frame_index BETWEEN a.frame_index + 1 AND a.frame_index + 2),
+             FROM (SELECT *, unnest([1, 2]) AS ahead FROM fx_detections) a JOIN fx_detections b ON a.source_video = b.source_video AND b.frame_index = a.frame_index + a.ahead),
     ok AS (SELECT * FROM cand WHERE aff > 0),
     best AS (SELECT *, row_number() OVER (PARTITION BY source_video, a_frame, a_det ORDER BY aff DESC, gap, b_det) AS f,
                     row_number() OVER (PARTITION BY source_video, b_frame, b_det ORDER BY aff DESC, gap, a_det) AS g FROM ok),

@@ -53,43 +53,65 @@ def once_per_track(decisions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return decisions.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["track_id"])
 
 
-def reevaluate(changed: DataFrame, history: DataFrame, fps: float | Column = 30.0) -> DataFrame:
+#: What a decision needs beside the observations, and what is taken where nothing is known.
+_CONTEXT = {
+    "authorized": ("boolean", False), "flight_id": ("string", None), "operator": ("string", None), "site_known": ("boolean", None), "zone_class": ("string", None),
+    "restriction_active": ("boolean", None), "restriction_reason": ("string", None), "history_count": ("bigint", None), "history_days": ("int", None),
+    "classifier_trained": ("boolean", False), "classifier_label": ("string", None), "classifier_confidence": ("double", None),
+    "interval_low": ("double", None), "interval_high": ("double", None),
+}
+
+
+def reevaluate(changed: DataFrame, history: DataFrame, fps: float | Column = 30.0, context: DataFrame | None = None) -> DataFrame:
     """Fresh decisions for the tracks in ``changed`` from all their observations (K4).
 
     Only these tracks are read from the history: the semi join prunes before any shuffle
-    of observations by track.
+    of observations by track. ``context`` has ``track_id`` and any of the columns that
+    authorisation, zone, history and classifier give (one row per track); a track or
+    column that is missing there counts as unknown.
     """
     ids = changed.select("track_id").distinct()
     obs = history.join(ids, "track_id", "left_semi")
     summary = track_summary(obs, fps).select("track_id", "n_observations", "duration_seconds", "median_pixels_on_target")
     feats = track_features(obs, fps)[0].drop("n_observations", "duration_frames", "median_pixels_on_target")
-    none = F.lit(None)
-    joined = summary.join(feats, "track_id", "left").withColumns({
-        "classifier_trained": F.lit(False), "classifier_label": none.cast("string"), "classifier_confidence": none.cast("double"),
-        "interval_low": none.cast("double"), "interval_high": none.cast("double")})
-    evidence = analyze_tracks(joined).withColumns({
-        "failed_tools": F.array().cast("array<string>"), "round_cap_reached": F.lit(False), "has_analysis": F.lit(True),
-        "authorized": F.lit(False), "flight_id": none.cast("string"), "operator": none.cast("string"), "site_known": none.cast("boolean"),
-        "zone_class": none.cast("string"), "restriction_active": none.cast("boolean"), "restriction_reason": none.cast("string"),
-        "history_count": none.cast("bigint"), "history_days": none.cast("int")})
+    given = context.columns if context is not None else []
+    known = ids if context is None else ids.join(context.select("track_id", *[c for c in _CONTEXT if c in given]), "track_id", "left")
+    known = known.select("track_id", *[F.coalesce(F.col(c) if c in given else F.lit(None).cast(kind), F.lit(default).cast(kind)).alias(c) for c, (kind, default) in _CONTEXT.items()])
+    classifier = [c for c in _CONTEXT if c.startswith(("classifier", "interval"))]
+    joined = summary.join(feats, "track_id", "left").join(known.select("track_id", *classifier), "track_id")
+    evidence = analyze_tracks(joined).join(known.drop(*classifier), "track_id").withColumns({
+        "failed_tools": F.array().cast("array<string>"), "round_cap_reached": F.lit(False), "has_analysis": F.lit(True)})
     return decide(evidence).select("track_id", "n_observations", "rule_id", "verdict", "uncertainty", "attention")
 
 
-def stream_reevaluate(obs: DataFrame, history_path: str, out_path: str, checkpoint: str, fps: float = 30.0) -> StreamingQuery:
+def stream_reevaluate(obs: DataFrame, history_path: str, out_path: str, checkpoint: str, fps: float = 30.0, buckets: int = 64,
+                      context: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:
     """Append each micro-batch to the history and re-decide the tracks it touched.
 
-    Both folders are written per batch id, so a repeated batch replaces its own output.
+    Both folders are written per batch id, so a repeated batch replaces its own output, and
+    a batch sees the history up to its own. The history is laid out by a hash of the track,
+    and only the buckets of touched tracks are read. ``context`` gives, for the touched
+    tracks of a batch, what :func:`reevaluate` takes.
     """
+    bucket = F.pmod(F.xxhash64("track_id"), F.lit(buckets)).cast("int")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-        history = spark.read.schema(batch.schema).parquet(f"{history_path}/batch=*")
-        mine = spark.read.schema(batch.schema).parquet(f"{history_path}/batch={batch_id}")
-        reevaluate(mine, history, fps).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        batch.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        every = spark.read.schema(f"{_ddl(batch)}, batch bigint, bucket int").parquet(history_path).where(F.col("batch") <= batch_id)
+        mine = every.where(F.col("batch") == batch_id)
+        touched = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets``
+        history = every.where(F.col("bucket").isin(touched)).drop("batch", "bucket")
+        ids = mine.select("track_id").distinct()
+        reevaluate(ids, history, fps, context(ids, batch_id) if context else None).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return obs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
 def latest_decisions(spark: SparkSession, out_path: str) -> DataFrame:
     """Newest decision per track of :func:`stream_reevaluate`."""
     all_ = spark.read.parquet(f"{out_path}/batch=*")
