@@ -93,11 +93,16 @@ def _fold_frames(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
             pixels_on_target(field_box(g["box"])).alias("px")))
         return F.sort_array(F.filter(near, lambda c: c["neg"] <= -lowest))
 
-    # Detections that overlap nothing need no turn: they are false positives in every cell.
+    # Only detections that compete need a turn. One that overlaps nothing is a false positive
+    # in every cell, and one whose only box nobody else overlaps gets it wherever the overlap suffices.
     with_near = frames.where(F.size("dets") > 0).select(*FRAME, F.transform("dets", lambda d: F.struct(
-        d["det_index"].alias("det_index"), d["key"].alias("key"), candidates(d).alias("near"))).alias("dets")).select(
-        *FRAME, F.filter("dets", lambda d: F.size(d["near"]) > 0).alias("queue"),
-        F.filter("dets", lambda d: F.size(d["near"]) == 0).alias("alone"))
+        d["det_index"].alias("det_index"), d["key"].alias("key"), candidates(d).alias("near"))).alias("dets")).withColumn(
+        "wanted", F.array_sort(F.flatten(F.transform("dets", lambda d: F.transform(d["near"], lambda n: n["gt"]))))).withColumn(
+        "shared", F.array_compact(F.transform("wanted", lambda g, i: F.when((i > 0) & (F.get("wanted", i - 1) == g), g))))
+    free = lambda d: (F.size(d["near"]) == 1) & ~F.array_contains("shared", F.get(d["near"], F.lit(0))["gt"])
+    with_near = with_near.select(
+        *FRAME, F.filter("dets", lambda d: (F.size(d["near"]) > 0) & ~free(d)).alias("queue"),
+        F.filter("dets", lambda d: (F.size(d["near"]) > 0) & free(d)).alias("single"), F.filter("dets", lambda d: F.size(d["near"]) == 0).alias("alone"))
 
     start = F.struct(
         F.array().cast("array<bigint>").alias("taken"),
@@ -120,12 +125,19 @@ def _fold_frames(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
             .otherwise(FALSE_POSITIVE).cast("tinyint").alias("kind"),
             F.coalesce(o["inside"], o["other"]).alias("gt")))
 
-    settled = with_near.select(*FRAME, "queue", "alone", F.transform(cell_array(cells), settle).alias("settled"))
+    def unopposed(n: Column) -> Column:
+        return F.transform(cell_array(cells), lambda c: F.struct(
+            F.when(n["neg"] > -c["thr"], FALSE_POSITIVE).when((n["px"] >= c["lo"]) & (n["px"] < c["hi"]), TRUE_POSITIVE)
+            .otherwise(IGNORED).cast("tinyint").alias("kind"),
+            F.when(n["neg"] <= -c["thr"], n["gt"]).alias("gt")))
+
+    settled = with_near.select(*FRAME, "queue", "single", "alone", F.transform(cell_array(cells), settle).alias("settled"))
     miss = F.struct(F.lit(FALSE_POSITIVE).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("gt"))
     missed = F.array(*[miss] * len(cells))
     rows = F.concat(
         F.transform("queue", lambda d, i: F.struct(d["det_index"], (-d["key"]).alias("score"),
                                                    F.transform("settled", lambda s: F.get(s, i)).alias("cells"))),
+        F.transform("single", lambda d: F.struct(d["det_index"], (-d["key"]).alias("score"), unopposed(F.get(d["near"], F.lit(0))).alias("cells"))),
         F.transform("alone", lambda d: F.struct(d["det_index"], (-d["key"]).alias("score"), missed.alias("cells"))))
     # An outer explode, since an inner one first evaluates the whole fold to see if it is empty.
     return settled.select(*FRAME, F.explode_outer(rows).alias("r")).select(*FRAME, "r.det_index", "r.score", "r.cells")
