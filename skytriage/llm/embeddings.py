@@ -26,6 +26,8 @@ from skytriage.session import durable
 
 THRESHOLD = 0.9
 TILE = 8192
+#: Long vectors make tiles of fewer rows, of about so many bytes.
+TILE_BYTES = 1 << 24
 #: Leading axes whose ranges make the box of a tile.
 BOX = 8
 #: Mean square of the suffix norms at which the first products are cut.
@@ -99,7 +101,7 @@ def _packer(turn: dict[int, np.ndarray]):
             for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 d = len(row[2]) // 8
                 held.setdefault(d, []).append(row)
-                if len(held[d]) >= TILE:
+                if len(held[d]) >= min(TILE, max(64, TILE_BYTES // (8 * d))):
                     yield tile(d)
         for d in list(held):
             yield tile(d)

@@ -26,14 +26,19 @@ from skytriage.llm.common import fold
 #: Labelled rows per class that training reads at most (taken in the order of a hash of the id).
 TRAIN_ROWS = 3000
 WINDOW_BYTES = 64
-ORDINARY_DICT = 2 * 1024
-TOXIC_DICT = 1024
+ORDINARY_DICT = 8 * 1024
+TOXIC_DICT = 2 * 1024
 #: A word of toxic text stays out of the toxic dictionary unless its share of documents is so many standard errors above that in ordinary ones.
-WORD_SIGMAS = 3.0
-#: ... and at least this share of the standard errors of the most telling word.
-WORD_SHARE = 0.5
+WORD_SIGMAS = 3.5
+#: With few toxic documents, in which a word cannot be that far above, so many fewer per power of ten below.
+SIGMAS_PER_TEN = 1.5
+#: Parts for the calibration: each is scored by dictionaries of the others.
+PARTS = 4
 #: Every window is compressed after so many bytes that both dictionaries end in, so that neither stores it raw.
 PRIMER_BYTES = 32
+#: Bytes that a window of ordinary text saves now and then by chance.
+CHANCE_BYTES = 3
+N_FEATURES = 7
 #: Shorter matches than this are not worth a sequence; keeps chance fragments out of the margins.
 MIN_MATCH = 6
 FOLDS = 5
@@ -93,12 +98,12 @@ def margins(data: bytes, model: Model) -> np.ndarray:
 
 
 def features(saved: np.ndarray) -> np.ndarray:
-    """What the calibration sees of a document: a constant, its best and three best windows, its sum and its mean."""
+    """What the calibration sees of a document: a constant, its best and three best windows, its sum and mean, and the sum above chance finds."""
     if not len(saved):
-        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+        return np.array([1.0, *[0.0] * (N_FEATURES - 1)])
     best = np.sort(saved)[::-1]
-    gain = np.clip(saved - 1, 0, None)
-    return np.array([1.0, best[0] / 8, best[:3].clip(0).sum() / 16, np.log1p(gain.sum()), np.log1p(gain.mean())])
+    gain, sure = np.clip(saved - 1, 0, None), np.clip(saved - CHANCE_BYTES, 0, None)
+    return np.array([1.0, best[0].clip(0) / 8, best[:3].clip(0).sum() / 16, np.log1p(gain.sum()), np.log1p(gain.mean()), np.log1p(sure.sum()), min(2, np.count_nonzero(sure))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -131,7 +136,7 @@ def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
                 share.setdefault(w, [0.0, 0.0])[side] += 1 / len(texts)
     n = [max(1, len(toxic)), max(1, len(ordinary))]
     sigmas = {w: (a - b) / np.sqrt(a / n[0] + b / n[1]) for w, (a, b) in share.items() if a * n[0] > 1.5}
-    floor = max(WORD_SIGMAS, WORD_SHARE * max(sigmas.values(), default=0.0))
+    floor = min(WORD_SIGMAS, 0.8 + SIGMAS_PER_TEN * np.log10(n[0]))
     kept = {w for w, z in sigmas.items() if z >= floor}
     return [b" " + b" ".join(w for w in _WORD.findall(t) if w in kept) + b" " for t in toxic]
 
@@ -151,37 +156,52 @@ def _dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, byt
     return base, b" ".join([extra, base])
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fit on ``(text, label)`` pairs.
+def train(rows: list[tuple[str | None, int]], odds: float | None = None) -> Model:
+    """Fit on ``(text, label)`` pairs; ``odds`` are those of a toxic row where they differ from those among the pairs.
 
-    The margins that calibrate come from dictionaries of the other half of the rows; the
-    dictionaries of the model are trained on all. Without rows of both classes it scores 0.
+    The margins that calibrate come from dictionaries of the other parts of the rows; the
+    dictionaries of the model are trained on all. Without two rows of each class it scores 0.
     """
     texts = [[normalise(t) for t, y in rows if y == k] for k in (0, 1)]
     if min(map(len, texts)) < 2:
-        return Model(b" ", b" ", np.array([-30.0, 0, 0, 0, 0]))
+        return Model(b" ", b" ", np.array([-30.0, *[0.0] * (N_FEATURES - 1)]))
     x, y = [], []
-    for half in (0, 1):
-        part = Model(*_dictionaries(*(t[half::2] for t in texts)), np.zeros(5))
+    parts = min(PARTS, *map(len, texts))
+    for held in range(parts):
+        part = Model(*_dictionaries(*([t for i, t in enumerate(own) if i % parts != held] for own in texts)), np.zeros(N_FEATURES))
         for k in (0, 1):
-            for t in texts[k][1 - half::2]:
+            for t in texts[k][held::parts]:
                 x.append(features(margins(t, part)))
                 y.append(float(k))
-    return Model(*_dictionaries(*texts), _logistic(np.array(x), np.array(y)))
+    weights = _logistic(np.array(x), np.array(y))
+    if odds:
+        weights[0] += np.log(odds) - np.log(sum(y) / (len(y) - sum(y)))
+    return Model(*_dictionaries(*texts), weights)
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """Labels of the rows to learn from."""
+    return labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD)).distinct()
+
+
+def toxic_odds(labels: DataFrame) -> float | None:
+    """Toxic rows per ordinary row among all labels to learn from; None without either."""
+    n = {r["toxic"]: r["count"] for r in _known(labels).groupBy("toxic").count().collect()}
+    return n[1] / n[0] if len(n) == 2 else None
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str | None, int]]:
     """At most ``rows`` labelled documents of each class outside the held-out fold, in the order of a hash of their id.
 
-    Rows whose label is null or neither 0 nor 1 teach nothing. Several labels or documents
-    with one id give every combination.
+    Rows whose label is null or neither 0 nor 1 teach nothing. Of several documents with one
+    id the first in the order of their texts teaches; two labels of one id both do.
     """
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_FOLD)).distinct()
+    known = _known(labels)
     rank = F.md5(F.col("doc_id").cast("string"))
     picked = [known.where(F.col("toxic") == k).orderBy(rank, "doc_id").limit(rows) for k in (0, 1)]
     both = picked[0].unionByName(picked[1])
-    found = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (str(r["doc_id"]), r["toxic"], r["text"] or ""))]
+    found = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (str(r["doc_id"]), r["toxic"]))]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -199,7 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def score_column(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Column:
     """Train, and give ``struct<score, windows>`` of the text of a row as a column."""
-    model = train(training_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows))
+    model = train(training_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows), toxic_odds(labels))
     return scorer(model)(F.col(text_col))
 
 
