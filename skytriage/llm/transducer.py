@@ -276,9 +276,6 @@ class Codec:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Put pre-tokens that the young generation lacks into it, from the older one or encoded and decoded now."""
-        if len(self.ids_of) >= WORD_CACHE:
-            self.older = (self.ids_of, self.text_of)
-            self.ids_of, self.text_of = {}, {}
         old_ids, old_text = self.older
         for w in words:
             got = old_ids.get(w)
@@ -297,10 +294,11 @@ class Codec:
                 distinct = set(words)
                 new = [w for w in distinct if w not in self.ids_of]
                 if new:
-                    young = self.ids_of
+                    if len(self.ids_of) >= WORD_CACHE:
+                        self.older = (self.ids_of, self.text_of)
+                        self.ids_of, self.text_of = {}, {}
+                        new = list(distinct)
                     self._learn(new)
-                    if self.ids_of is not young:
-                        self._learn([w for w in distinct if w not in self.ids_of])
                 if words:
                     between = "" if self.decoder.byte_level else " "
                     yield " ".join(map(self.ids_of.__getitem__, words)), between.join(map(self.text_of.__getitem__, words))
