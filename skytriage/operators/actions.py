@@ -133,14 +133,13 @@ def feedback_labels(feedback: DataFrame, tracks: DataFrame) -> DataFrame:
 
     A press on one track outranks the assertion about its whole clip, and the latest
     press counts; the decision itself is left as it was. Only "dismissed as bird" names
-    a class; other responses confirm the label the track already has.
+    a class; other responses say nothing about it and leave label and basis alone.
     """
     latest = feedback.groupBy("track_id").agg(F.max(F.struct("received_at", "response")).alias("f"))
-    said = F.when(F.col("f.response") == "dismissed_as_bird", "bird").otherwise(F.col("label"))
-    confirmed = F.col("f").isNotNull()
+    confirmed = F.coalesce(F.col("f.response") == "dismissed_as_bird", F.lit(False))
     return tracks.join(latest, "track_id", "left").select(
         *[c for c in tracks.columns if c not in ("label", "label_basis")],
-        F.when(confirmed, said).otherwise(F.col("label")).alias("label"),
+        F.when(confirmed, "bird").otherwise(F.col("label")).alias("label"),
         F.when(confirmed, "operator_confirmed").otherwise("clip_provenance").alias("label_basis"))
 
 

@@ -265,7 +265,7 @@ def feedback(spark, sf):
 
 @query("j17_feedback_labels", f"""WITH p AS ({_PRESS.format(events='events')}), f AS (SELECT track_id, arg_max(action_id, received_at) AS a FROM p WHERE action_id <> 'other' AND track_id <> '' GROUP BY 1),
     t AS (SELECT CAST(c_custkey AS VARCHAR) AS track_id, CASE c_custkey % 2 WHEN 0 THEN 'drone' ELSE 'aircraft' END AS label FROM customer)
-  SELECT track_id, CASE WHEN a = 'dismiss_as_bird' THEN 'bird' ELSE label END AS label, CASE WHEN a IS NULL THEN 'clip_provenance' ELSE 'operator_confirmed' END AS label_basis
+  SELECT track_id, CASE WHEN a = 'dismiss_as_bird' THEN 'bird' ELSE label END AS label, CASE WHEN a = 'dismiss_as_bird' THEN 'operator_confirmed' ELSE 'clip_provenance' END AS label_basis
   FROM t LEFT JOIN f USING (track_id)""")
 def confirmed(spark, sf):
     c = F.col("c_custkey")
