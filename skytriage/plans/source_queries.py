@@ -60,11 +60,27 @@ def box_xml(spark, sf):
     fr = view(spark, sf, "fx_frames").select(still.alias("source_video"), F.concat(still.cast("string"), F.lit(".jpg")).alias("filename"), F.lit(4000).alias("width"), F.lit(2000).alias("height"))
     gt = view(spark, sf, "fx_ground_truth").withColumn("source_video", still)
     boxxml.write_box_xml(fr, gt, path)
-    images, raw, _ = boxxml.read_box_xml(spark, f"{path}/*", F.regexp_extract("filename", r"^(\d+)", 1).cast("long"), max_bytes=1 << 30)
+    images, raw, _ = boxxml.read_box_xml(spark, f"{path}/*", F.regexp_extract("filename", r"^(\d+)", 1).cast("long"))
     frames, boxes, _ = boxxml.reject_boxes(images, raw)
     return _per_frame(frames, boxes).select(F.col("source_video").alias("still"), "n_boxes", "sum_x1", "sum_y2", "n_drone")
 
 
+@query("a3_refused_files", """SELECT CAST(s_suppkey AS BIGINT) AS still, CASE WHEN s_suppkey % 50 = 1 THEN 'larger than the limit' WHEN s_suppkey % 3 = 0 THEN 'declares a document type'
+  WHEN s_suppkey % 5 = 0 THEN 'no size' WHEN s_suppkey % 7 = 0 THEN 'object without name or integer corners' ELSE 'read' END AS problem FROM supplier""")
+def refused_files(spark, sf):
+    """One file per supplier; some hold too much, a document type, no size or no corner."""
+    path, k = scratch(spark), F.col("s_suppkey")
+    part = lambda cond, yes, no="": F.when(cond, F.lit(yes)).otherwise(F.lit(no))
+    corner = F.when(k % 7 == 0, F.lit("?")).otherwise(k.cast("string"))
+    body = F.concat(part(k % 3 == 0, '<!DOCTYPE x [<!ENTITY a "b">]>'), F.lit("<annotation><filename>"), k.cast("string"), F.lit(".jpg</filename>"),
+                    part(k % 5 == 0, "", "<size><width>4000</width><height>2000</height></size>"), F.lit("<object><name>UAV</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>"), corner,
+                    F.lit("</xmax><ymax>9</ymax></bndbox></object>"), F.when(k % 50 == 1, F.repeat(F.lit(" "), boxxml.MAX_BYTES)).otherwise(""), F.lit("</annotation>"))
+    table(spark, sf, "supplier").select(k.alias("still"), body.alias("value")).write.partitionBy("still").text(path)
+    number = F.regexp_extract("path", r"still=(\d+)", 1).cast("long")
+    images, _, bad = boxxml.read_box_xml(spark, f"{path}/*/*.txt", number)
+    return images.select(F.col("source_video").alias("still"), F.lit("read").alias("problem")).unionByName(bad.select(number.alias("still"), "problem"))
+
+
 # Raw objects as box XML would give them, with defects of every kind.
 _RAW = """SELECT l_orderkey AS source_video, CONCAT(CAST(l_orderkey AS STRING), '.jpg') AS filename, 640 AS width, 480 AS height, l_partkey AS gt_index,
     CASE l_partkey % 6 WHEN 0 THEN 'UAV' WHEN 1 THEN 'bird ' WHEN 2 THEN 'aeroplane' WHEN 3 THEN 'Drone' WHEN 4 THEN 'kite' ELSE CONCAT('thing', CAST(l_partkey % 11 AS STRING)) END AS name,

@@ -10,49 +10,58 @@ from skytriage.sources.text import file_stem, map_class
 
 MAX_BYTES = 1 << 20
 
-_I, _S = T.IntegerType(), T.StringType()
+_S = T.StringType()
 
 
 def _fields(*pairs) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in pairs])
 
 
+# Numbers are read as text: an object with a number that cannot be read would be left out otherwise.
 SCHEMA = _fields(
-    ("filename", _S), ("size", _fields(("width", _I), ("height", _I), ("depth", _I))),
+    ("filename", _S), ("size", _fields(("width", _S), ("height", _S), ("depth", _S))),
     ("object", T.ArrayType(_fields(
-        ("name", _S), ("pose", _S), ("truncated", _I), ("difficult", _I),
-        ("bndbox", _fields(("xmin", _I), ("ymin", _I), ("xmax", _I), ("ymax", _I)))))))
+        ("name", _S), ("pose", _S), ("truncated", _S), ("difficult", _S),
+        ("bndbox", _fields(("xmin", _S), ("ymin", _S), ("xmax", _S), ("ymax", _S)))))))
+#: A file is one annotation or a list of them.
+_DOCUMENT = T.StructType([*SCHEMA.fields, T.StructField("annotation", T.ArrayType(SCHEMA)), T.StructField("_corrupt_record", _S)])
+_LIST_ROOT = r"^\uFEFF?\s*(<\?[^>]*\?>\s*|<!--[\s\S]*?-->\s*)*<annotations[\s/>]"
+#: Images per written file, so that files of usual images stay far below ``MAX_BYTES``.
+PER_FILE = 200
 
 
 def read_box_xml(spark: SparkSession, path: str, video: Column | None = None,
                  max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, raw objects, refused files) from ``<annotation>`` documents.
+    """(images, raw objects, refused files) from ``<annotation>`` documents, one or a list of them per file.
 
-    Files above ``max_bytes`` and files that declare a document type are never parsed; an
-    annotation with a missing tag is refused as a whole. ``video`` defaults to the name
-    of the file.
+    Files above ``max_bytes`` are never opened, files that are not UTF-8 or declare a document
+    type never parsed; an annotation with a missing tag is refused as a whole. Files of no
+    bytes are passed over by Spark's file sources. ``video`` defaults to the name of the file.
     """
     listed = spark.read.format("binaryFile").load(path)
-    size_bad = listed.where(F.col("length") > max_bytes).select("path", F.lit("larger than the limit").alias("problem"))
-    inside = F.decode("content", "utf-8")
-    doctype = listed.where(F.col("length") <= max_bytes).where(F.upper(inside).contains("<!DOCTYPE")).select("path", F.lit("declares a document type").alias("problem"))
-    gated = size_bad.unionByName(doctype)
-    docs = spark.read.format("xml").option("rowTag", "annotation").schema(SCHEMA).load(path).select(
-        F.col("_metadata.file_path").alias("path"), (file_stem(F.col("_metadata.file_path")) if video is None else video).alias("source_video"), "filename",
-        F.col("size.width").alias("width"), F.col("size.height").alias("height"), F.coalesce("object", F.array()).alias("objects"))
-    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    docs = docs.withColumn("_p", same(F.col("path"))).join(gated.select(same(F.col("path")).alias("_p")), "_p", "left_anti").drop("_p")
-    whole = F.forall("objects", lambda o: o["name"].isNotNull() & o["bndbox"]["xmin"].isNotNull() & o["bndbox"]["ymin"].isNotNull()
-                     & o["bndbox"]["xmax"].isNotNull() & o["bndbox"]["ymax"].isNotNull())
-    problem = (F.when(F.col("filename").isNull(), "no filename").when(F.col("width").isNull() | F.col("height").isNull(), "no size")
+    fits = F.col("length") <= max_bytes
+    size_bad = listed.where(~fits).select("path", F.lit("larger than the limit").alias("problem"))
+    opened = listed.where(fits).select("path", F.col("content").cast("string").alias("text"))
+    gate = F.when(~F.is_valid_utf8("text"), "not UTF-8").when(F.upper("text").contains("<!DOCTYPE"), "declares a document type")
+    gated = size_bad.unionByName(opened.select("path", gate.alias("problem")).where("problem IS NOT NULL"))
+    read = opened.where(gate.isNull()).select("path", F.col("text").rlike(_LIST_ROOT).alias("is_list"), F.from_xml("text", _DOCUMENT.simpleString()).alias("x"))
+    one = F.array(F.struct(*[F.col(f"x.{f}").alias(f) for f in SCHEMA.names]))
+    listing = F.when(F.col("is_list") & F.col("x._corrupt_record").isNull(), F.coalesce("x.annotation", F.array().cast(T.ArrayType(SCHEMA)))).otherwise(one)
+    whole_number = lambda c: F.col(c).try_cast("int")
+    objects = F.transform(F.coalesce("a.object", F.array()), lambda o: F.struct(
+        o["name"].alias("name"), *[o["bndbox"][c].try_cast("int").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")],
+        *[F.coalesce(o[c].try_cast("int"), F.lit(0)).alias(c) for c in ("truncated", "difficult")]))
+    docs = read.select("path", F.col("x._corrupt_record").isNotNull().alias("broken"), F.explode(listing).alias("a")).select(
+        "path", "broken", F.col("a.filename").alias("filename"), whole_number("a.size.width").alias("width"), whole_number("a.size.height").alias("height"), objects.alias("objects"))
+    whole = F.forall("objects", lambda o: o["name"].isNotNull() & o["xmin"].isNotNull() & o["ymin"].isNotNull() & o["xmax"].isNotNull() & o["ymax"].isNotNull())
+    problem = (F.when(F.col("broken"), "not readable as XML").when(F.col("filename").isNull(), "no filename").when(F.col("width").isNull() | F.col("height").isNull(), "no size")
                .when(~whole, "object without name or integer corners"))
-    judged = docs.withColumn("problem", problem)
+    judged = docs.withColumns({"problem": problem, "source_video": file_stem(F.col("path")) if video is None else video})
     good = judged.where("problem IS NULL")
     images = good.select("source_video", "filename", "width", "height")
     raw = good.select("source_video", "filename", "width", "height", F.posexplode("objects").alias("gt_index", "o")).select(
-        "source_video", "filename", "width", "height", F.col("gt_index").cast("long").alias("gt_index"), F.col("o.name").alias("name"),
-        *[F.col(f"o.bndbox.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")],
-        F.coalesce("o.truncated", F.lit(0)).alias("truncated"), F.coalesce("o.difficult", F.lit(0)).alias("difficult"))
+        "source_video", "filename", "width", "height", F.col("gt_index").cast("long").alias("gt_index"),
+        *[F.col(f"o.{c}").alias(c) for c in ("name", "xmin", "ymin", "xmax", "ymax", "truncated", "difficult")])
     return images, raw, gated.unionByName(judged.where("problem IS NOT NULL").select("path", "problem"))
 
 
@@ -144,12 +153,12 @@ def source_notes(images: DataFrame, raw: DataFrame, rejects: DataFrame, listing:
     return fixed.unionByName(missing).unionByName(top)
 
 
-def write_box_xml(frames: DataFrame, gt: DataFrame, path: str, index_base: str = "one") -> None:
-    """Box XML rows, many images per file under one root; each image is one row."""
+def write_box_xml(frames: DataFrame, gt: DataFrame, path: str, index_base: str = "one", per_file: int = PER_FILE) -> None:
+    """Box XML, at most ``per_file`` images per file under one root; each image is one row."""
     b = xyxy_to_voc(Box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), index_base)
     obj = F.struct(F.col("label").alias("name"), F.lit(0).alias("truncated"), F.lit(0).alias("difficult"),
                    F.struct(b.a.alias("xmin"), b.b.alias("ymin"), b.c.alias("xmax"), b.d.alias("ymax")).alias("bndbox"))
     per = gt.groupBy("source_video").agg(F.sort_array(F.collect_list(F.struct("gt_index", obj.alias("o")))).alias("b"))
     rows = frames.join(per, "source_video", "left").select(
         "filename", F.struct("width", "height", F.lit(3).alias("depth")).alias("size"), F.coalesce("b.o", F.array()).alias("object"))
-    rows.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").mode("errorifexists").save(path)
+    rows.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").option("maxRecordsPerFile", per_file).mode("errorifexists").save(path)

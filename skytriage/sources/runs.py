@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skytriage.constants import FEATURES, MIN_TRACK_SECONDS
@@ -73,12 +74,34 @@ def ingest_runs(decisions: DataFrame, labels: DataFrame, min_seconds: float = MI
     return tracks, runs
 
 
+#: Folders of the store, by a hash of the track id; an append reads those that its ids fall into.
+STORE_BUCKETS = 64
+
+
+def _store_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Lines, with their file, of all files below ``paths``; paths that match nothing hold none."""
+    found = None
+    for p in paths:
+        try:
+            lines = spark.read.option("recursiveFileLookup", True).text(p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        lines = lines.select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).where("line <> ''")
+        found = lines if found is None else found.unionByName(lines)
+    return spark.createDataFrame([], "path string, line string") if found is None else found
+
+
+def _parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    read = lines.withColumn("t", F.from_json("line", TRACK_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    ok = F.col("t._corrupt").isNull() & F.col("t.track_id").isNotNull()
+    return read.where(ok).select("t.*").drop("_corrupt"), read.where(~ok | ok.isNull()).select("path", "line")
+
+
 def load_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tracks, bad rows with their file) from JSON lines; blank lines are skipped, an absent store is empty."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).where("line <> ''")
-    parsed = lines.withColumn("t", F.from_json("line", TRACK_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
-    ok = F.col("t._corrupt").isNull() & F.col("t.track_id").isNotNull()
-    return parsed.where(ok).select("t.*").drop("_corrupt"), parsed.where(~ok | ok.isNull()).select("path", "line")
+    return _parsed(_store_lines(spark, path))
 
 
 def unseen_tracks(new: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -92,11 +115,23 @@ def unseen_tracks(new: DataFrame, stored: DataFrame | None) -> DataFrame:
     return once if stored is None else once.join(stored.select("track_id"), "track_id", "left_anti")
 
 
-def append_tracks(new: DataFrame, path: str, first: bool = False) -> None:
-    """Append unseen tracks to the JSON-lines store."""
-    stored = None if first else load_tracks(new.sparkSession, path)[0]
-    unseen_tracks(new, stored).select(*[f.split()[0] for f in ("track_id", "source_clip", "label", "label_basis", "asserted_by", "run_id", "duration_seconds",
-                                      "n_observations", "median_pixels_on_target", "synthetic", "features")]).write.mode("append").json(path)
+def append_tracks(new: DataFrame, path: str, first: bool = False, buckets: int = STORE_BUCKETS) -> None:
+    """Append unseen tracks to the JSON-lines store, in folders by a hash of their id.
+
+    Of the store only the folders that new ids fall into are read, and files that lie
+    directly in ``path``. ``first`` says that there is nothing to read yet; an absent store
+    is empty anyway. A store is always given the same number of ``buckets``.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("track_id"), F.lit(buckets)).cast("int")
+    stored = None
+    if not first:
+        touched = sorted(r["bucket"] for r in new.select(bucket.alias("bucket")).distinct().collect())  # at most ``buckets``
+        named = [f"{path}/bucket={{{','.join(map(str, touched))}}}"] if touched else []
+        stored = _parsed(_store_lines(spark, *named, f"{path}/*.json"))[0]
+    columns = ["track_id", "source_clip", "label", "label_basis", "asserted_by", "run_id", "duration_seconds", "n_observations",
+               "median_pixels_on_target", "synthetic", "features"]
+    unseen_tracks(new, stored).select(*columns, bucket.alias("bucket")).repartition("bucket").write.partitionBy("bucket").mode("append").json(path)
 
 
 _SITE = ("sites array<struct<site_id:string,name:string,zone_class:string,authorized_flights:array<struct<flight_id:string,operator:string,"

@@ -63,16 +63,21 @@ def frame_index_base(frames: DataFrame) -> DataFrame:
     return frames.groupBy("source_video").agg(F.min("frame_index").alias("frame_index_base"))
 
 
+#: Frames of one video that share a written file.
+FRAMES_PER_FILE = 100_000
+
+
 def frame_lines(frames: DataFrame, gt: DataFrame) -> DataFrame:
-    """One text line per frame, empty frames included."""
-    number = lambda c: F.col(c)
-    box = F.struct("gt_index", F.concat_ws(" ", number("x1"), number("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "label").alias("t"))
+    """One text line per frame, empty frames included: ``source_video, frame_index, value``."""
+    box = F.struct("gt_index", F.concat_ws(" ", "x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "label").alias("t"))
     per = gt.groupBy("source_video", "frame_index").agg(F.sort_array(F.collect_list(box)).alias("b"))
     joined = frames.join(per, ["source_video", "frame_index"], "left")
     line = F.concat_ws(" ", "frame_index", F.coalesce(F.size("b"), F.lit(0)), F.array_join(F.coalesce("b.t", F.array().cast("array<string>")), " "))
-    return joined.select("source_video", F.rtrim(line).alias("value"))
+    return joined.select("source_video", "frame_index", F.rtrim(line).alias("value"))
 
 
-def write_frame_text(frames: DataFrame, gt: DataFrame, path: str) -> None:
-    """One directory per video; lines of a large video may be spread over several files."""
-    frame_lines(frames, gt).write.partitionBy("source_video").mode("errorifexists").text(path)
+def write_frame_text(frames: DataFrame, gt: DataFrame, path: str, frames_per_file: int = FRAMES_PER_FILE) -> None:
+    """One directory per video, one file per ``frames_per_file`` frame numbers, lines in the order of frames."""
+    stretch = F.floor(F.col("frame_index") / F.lit(frames_per_file))
+    placed = frame_lines(frames, gt).repartition("source_video", stretch).sortWithinPartitions("source_video", "frame_index")
+    placed.select("source_video", "value").write.partitionBy("source_video").mode("errorifexists").text(path)

@@ -133,18 +133,13 @@ def stream_ingest_runs(spark: SparkSession, path: str, labels: DataFrame, store:
         good, bad = parse_decisions(batch)
         bad.write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
         tracks, runs = ingest_runs(good, labels)
-        append_tracks(tracks, store, first=not _exists(batch.sparkSession, store))
+        append_tracks(tracks, store)
         if report is not None:
             report(runs, batch_id)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Drain a stream into a folder and read it back; in update mode the last row per key wins elsewhere."""
     spark = stream.sparkSession

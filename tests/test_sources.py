@@ -70,6 +70,53 @@ def test_box_xml(spark, tmp_path):
     assert boxxml.index_base_evidence(raw.limit(0)).first().verdict == "empty"
 
 
+def test_box_xml_refusals(spark, tmp_path):
+    put(f"{tmp_path}/corner.xml", voc("corner", [("bird", 5, 5, 20, 20), ("bird", 5, 5, "x", 20)]))
+    put(f"{tmp_path}/cut.xml", voc("cut", [("bird", 5, 5, 20, 20), ("bird", 5, 5, 20, 20)])[:-60])
+    put(f"{tmp_path}/large.xml", voc("large", [("bird", 5, 5, 20, 20)]) + " " * boxxml.MAX_BYTES)
+    put(f"{tmp_path}/blank.xml", "\n")
+    with open(f"{tmp_path}/latin.xml", "wb") as f:
+        f.write(voc("é", [("bird", 5, 5, 20, 20)]).encode("latin-1"))
+    put(f"{tmp_path}/list.xml", f"<annotations>{voc('l1', [('bird', 5, 5, 20, 20)])}{voc('l2', [])}</annotations>")
+    put(f"{tmp_path}/none.xml", "<?xml version='1.0'?><annotations/>")
+    images, raw, bad = boxxml.read_box_xml(spark, f"{tmp_path}/*.xml")
+    problems = {os.path.basename(r.path): r.problem for r in bad.collect()}
+    assert set(problems) == {"corner.xml", "cut.xml", "large.xml", "blank.xml", "latin.xml"}
+    assert problems["corner.xml"] == "object without name or integer corners" and problems["latin.xml"] == "not UTF-8"
+    assert problems["large.xml"] == "larger than the limit"
+    assert sorted(r.filename for r in images.collect()) == ["l1.jpg", "l2.jpg"] and raw.count() == 1
+
+
+def test_store_reads_touched_buckets_and_older_files(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    assert runs.load_tracks(spark, store)[0].count() == 0 and runs.load_tracks(spark, store)[1].count() == 0
+    feats = "named_struct(" + ",".join(f"'{f}', 1.0D" for f in runs.FEATURES) + ")"
+
+    def batch(low, high):
+        return spark.range(low, high).selectExpr(
+            "cast(id as string) track_id", "'c' source_clip", "'bird' label", "'clip_provenance' label_basis", "'me' asserted_by", "'r' run_id",
+            "3.0D duration_seconds", "9L n_observations", "14.0D median_pixels_on_target", "false synthetic", f"{feats} features")
+
+    put(f"{store}/old.json", '{"track_id": "3", "source_clip": "old"}\n')
+    runs.append_tracks(batch(0, 5), store)
+    runs.append_tracks(batch(2, 9), store)
+    runs.append_tracks(batch(0, 0), store)
+    tracks, bad = runs.load_tracks(spark, store)
+    assert sorted((r.track_id, r.source_clip) for r in tracks.collect()) == [(str(i), "old" if i == 3 else "c") for i in range(9)]
+    assert bad.count() == 0
+
+
+def test_frame_text_files_per_video(spark, tmp_path):
+    frames = spark.range(40).selectExpr("cast(id % 2 as string) source_video", "id frame_index")
+    gt = frames.selectExpr("*", "0L gt_index", "1.0D x1", "1.0D y1", "3.0D x2", "3.0D y2", "'drone' label").where("frame_index % 3 = 0")
+    text.write_frame_text(frames, gt, f"{tmp_path}/out", frames_per_file=20)
+    for video in (0, 1):
+        files = [f for f in os.listdir(f"{tmp_path}/out/source_video={video}") if f.endswith(".txt")]
+        assert 1 <= len(files) <= 2
+    back, boxes, bad = text.read_frame_text(spark, f"{tmp_path}/out", F.col("source_video").cast("string"))
+    assert back.count() == 40 and boxes.count() == 14 and bad.count() == 0
+
+
 def test_coco_document(spark, tmp_path):
     doc = {"images": [{"id": 7, "file_name": "a.jpg", "width": 10, "height": 10, "source_video": "v"}, {"id": 3, "file_name": "b.jpg", "width": 10, "height": 10}],
            "annotations": [{"id": 1, "image_id": 7, "category_id": 2, "bbox": [1, 2, 3, 4]}], "categories": [{"id": 2, "name": "bird"}]}
