@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from skytriage.constants import ACTION_BUDGET
 from skytriage.functions.geometry import corners, pixels_on_target
 from skytriage.functions.numeric import round_py
-from skytriage.operators.scan import ranked, split_by_size
 
 ALERT_CHANNEL, AUDIT_CHANNEL = "#airspace-alerts", "#airspace-audit"
 
@@ -174,12 +173,14 @@ def job_summary(tracks: DataFrame, features: list[str]) -> DataFrame:
         "job_id", F.to_json(F.struct("synthetic", "track_count", "tracks")).alias("record"))
 
 
-def overlay_rows(obs: DataFrame, decisions: DataFrame, min_hits: int = 3, track_limit: int = 500_000) -> DataFrame:
+def overlay_rows(obs: DataFrame, decisions: DataFrame, min_hits: int = 3) -> DataFrame:
     """Every observation with the verdict of its track, for drawing.
 
     ``obs`` has ``job_id, track_number, frame_index`` and a box; ``decisions`` has
     ``job_id, track_id`` where the id is ``<job>-t<number>``, checked rather than assumed.
-    Observations made before a track had enough hits are marked as forming.
+    Observations made before a track had enough hits are marked as forming: those up to
+    the frame of the hit before. Only these first frames are ranked, and Spark cuts every
+    partition to them before the shuffle.
     """
     keys = ["job_id", "track_number"]
     number = F.regexp_extract("track_id", r"-t(\d+)$", 1)
@@ -191,11 +192,10 @@ def overlay_rows(obs: DataFrame, decisions: DataFrame, min_hits: int = 3, track_
         F.raise_error(F.concat(F.lit("no caption for uncertainty "), F.col("uncertainty"))).cast("string"))
     verdicts = decisions.select("job_id", F.when(fits & (number != ""), number.cast("long")).otherwise(bad).alias("track_number"),
                                 "verdict", "rule_id", marked.alias("caveat"))
-    small, large = split_by_size(obs, keys, track_limit)
     w = Window.partitionBy(*keys).orderBy("frame_index")
-    placed = small.withColumn("_k", F.row_number().over(w) - 1)
-    if large is not None:
-        placed = placed.unionByName(ranked(large, keys, [F.col("frame_index")], "_k"))
+    early = obs.select(*keys, "frame_index").withColumn("_k", F.row_number().over(w)).where(F.col("_k") < min_hits)
+    formed = early.groupBy(*keys).agg(F.max("frame_index").alias("_formed"))
+    placed = obs.join(formed, keys, "left")
     return placed.join(verdicts, keys, "left").select(
         *keys, "frame_index", "score", pixels_on_target(corners()).alias("pixels_on_target"),
-        (F.col("_k") < max(0, min_hits - 1)).alias("forming"), "verdict", "rule_id", "caveat")
+        F.coalesce(F.col("frame_index") <= F.col("_formed"), F.lit(False)).alias("forming"), "verdict", "rule_id", "caveat")

@@ -293,16 +293,26 @@ def sanitised(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ac.sanitise_text(F.col("text"), 300, ("<<<", ">>>")).alias("note"))
 
 
-@query("j21_job_summary", """SELECT l_suppkey AS job_id, CAST(count(*) AS INT) AS track_count, CAST(count(*) AS INT) AS listed, min(l_orderkey) AS first_number, bool_or(l_discount > 0.09) AS synthetic FROM lineitem GROUP BY 1""")
+# Odd denominators: no value lies on a tie of the rounding.
+_MEASURES = "((l_orderkey * 7 + l_partkey) % 100003) / CAST(100003 AS DOUBLE) AS confidence, (l_partkey * 13 % 100003) / CAST(1003 AS DOUBLE) AS px, (l_orderkey * 31 % 100003) / CAST(3001 AS DOUBLE) AS speed"
+
+
+@query("j21_job_summary", f"""SELECT l_suppkey AS job_id, CAST(count(*) AS INT) AS track_count, CAST(count(*) AS INT) AS listed, min(l_orderkey) AS first_number, bool_or(l_discount > 0.09) AS synthetic,
+    min(round(confidence, 4)) AS min_confidence, max(round(confidence, 4)) AS max_confidence, max(round(px, 2)) AS max_pixels, min(round(speed, 4)) AS min_speed, max(round(speed, 4)) AS max_speed
+  FROM (SELECT *, {_MEASURES} FROM lineitem) GROUP BY 1""")
 def summaries(spark, sf):
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("job_id"), F.col("l_orderkey").alias("track_number"), F.col("l_returnflag").alias("label"), F.col("l_tax").alias("confidence"),
-        F.col("l_linenumber").alias("first_frame"), F.col("l_partkey").alias("last_frame"), F.col("l_quantity").alias("median_pixels_on_target"),
-        F.col("l_discount").alias("mean_speed"), (F.col("l_discount") > 0.09).alias("synthetic"))
+    li = table(spark, sf, "lineitem").selectExpr("*", *_MEASURES.split(", ")).select(
+        F.col("l_suppkey").alias("job_id"), F.col("l_orderkey").alias("track_number"), F.col("l_returnflag").alias("label"), "confidence",
+        F.col("l_linenumber").alias("first_frame"), F.col("l_partkey").alias("last_frame"), F.col("px").alias("median_pixels_on_target"),
+        F.col("speed").alias("mean_speed"), (F.col("l_discount") > 0.09).alias("synthetic"))
     rec = ac.job_summary(li, ["mean_speed"])
     part = lambda p: F.get_json_object("record", p)
-    return rec.select("job_id", part("$.track_count").cast("int").alias("track_count"), F.json_array_length(part("$.tracks")).alias("listed"),
-                      part("$.tracks[0].track_number").cast("long").alias("first_number"), (part("$.synthetic") == "true").alias("synthetic"))
+    listed = F.from_json("record", "tracks array<struct<confidence:double,median_pixels_on_target:double,features:struct<mean_speed:double>>>")["tracks"]
+    return rec.withColumn("t", listed).select(
+        "job_id", part("$.track_count").cast("int").alias("track_count"), F.json_array_length(part("$.tracks")).alias("listed"),
+        part("$.tracks[0].track_number").cast("long").alias("first_number"), (part("$.synthetic") == "true").alias("synthetic"),
+        F.array_min("t.confidence").alias("min_confidence"), F.array_max("t.confidence").alias("max_confidence"), F.array_max("t.median_pixels_on_target").alias("max_pixels"),
+        F.array_min("t.features.mean_speed").alias("min_speed"), F.array_max("t.features.mean_speed").alias("max_speed"))
 
 
 @query("j22_overlay_rows", ctes("fx_observations") + """

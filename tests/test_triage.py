@@ -50,11 +50,11 @@ def test_audit_hash_ignores_timings(spark):
 
 def test_overlay_checks_its_ids(spark):
     obs = spark.createDataFrame([("j", 1, f, 0.0, 0.0, 4.0, 4.0, 0.9) for f in range(5)], "job_id string, track_number long, frame_index long, x1 double, y1 double, x2 double, y2 double, score double")
-    def run(track_id, uncertainty="none", **kw):
+    def run(track_id, uncertainty="none", min_hits=3):
         d = spark.createDataFrame([("j", track_id, "watch", "r", uncertainty)], "job_id string, track_id string, verdict string, rule_id string, uncertainty string")
-        return ac.overlay_rows(obs, d, **kw).orderBy("frame_index").collect()
-    for kw in ({}, {"track_limit": 2}):
-        assert [r.forming for r in run("j-t1", **kw)] == [True, True, False, False, False]
+        return ac.overlay_rows(obs, d, min_hits).orderBy("frame_index").collect()
+    for hits, forming in ((3, 2), (1, 0), (0, 0), (9, 5)):
+        assert [r.forming for r in run("j-t1", min_hits=hits)] == [True] * forming + [False] * (5 - forming)
     for bad in (("k-t1",), ("j-tx",), ("j-t1", "strange")):
         with pytest.raises(Exception, match="does not belong|no caption"):
             run(*bad)
