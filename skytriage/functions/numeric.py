@@ -36,13 +36,17 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def wilson(successes: Column, trials: Column, z: float = Z_95) -> Column:
-    """Score interval for a proportion as ``struct(low, high)``; (0, 1) without trials."""
+    """Score interval for a proportion as ``struct(low, high)``; (0, 1) without trials.
+
+    Counts that no trials can give (below 0, or more successes than trials) stop the job.
+    """
+    impossible = F.raise_error(F.concat(F.lit("successes must be within the trials: "), successes.cast("string"), F.lit(" of "), trials.cast("string"))).cast("double")
     n = trials.cast("double")
     p = successes.cast("double") / n
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     margin = (z / scale) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    low = F.when(trials > 0, F.greatest(F.lit(0.0), centre - margin)).otherwise(0.0)
+    low = F.when(trials <= 0, 0.0).when((successes < 0) | (successes > trials), impossible).when(trials > 0, F.greatest(F.lit(0.0), centre - margin)).otherwise(0.0)
     high = F.when(trials > 0, F.least(F.lit(1.0), centre + margin)).otherwise(1.0)
     return F.struct(low.alias("low"), high.alias("high"))
 

@@ -107,7 +107,8 @@ _PAYLOAD = ("actions array<struct<action_id:string,value:string>>, user struct<i
 def ingest_feedback(payloads: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(feedback joined to decisions, feedback for unknown tracks, refused payloads).
 
-    ``payloads`` has ``payload`` (JSON text of one button press) and ``received_at``.
+    ``payloads`` has ``payload`` (JSON text of one button press) and ``received_at``. Feedback
+    names who pressed (``responder``, ``user_id``) and where to answer (``response_url``, ``message_ts``).
     """
     body = F.from_json("payload", _PAYLOAD)
     read = payloads.withColumn("_b", body).withColumn("_a", F.get(F.col("_b.actions"), F.lit(0)))
@@ -115,6 +116,8 @@ def ingest_feedback(payloads: DataFrame, decisions: DataFrame) -> tuple[DataFram
     parsed = read.select(
         "payload", "received_at", F.col("_a.action_id").alias("action_id"),
         F.substring(F.coalesce(F.col("_a.value"), F.lit("")), 1, 64).alias("track_id"),
+        F.substring(F.coalesce(F.col("_b.user.id"), F.lit("")), 1, 64).alias("user_id"),
+        F.substring(F.col("_b.response_url"), 1, 500).alias("response_url"), F.nullif(F.col("_b.message.ts"), F.lit("")).alias("message_ts"),
         F.substring(F.coalesce(F.col("_b.user.name"), F.col("_b.user.username"), F.lit("unknown")), 1, 128).alias("responder"),
         F.try_element_at(table, F.col("_a.action_id")).alias("response"),
         F.when(F.col("payload").isNull(), "payload is missing")

@@ -75,7 +75,7 @@ def zone_status(tracks: DataFrame, sites: DataFrame, restrictions: DataFrame) ->
 
 def query_history(tracks: DataFrame, history: DataFrame, now: dt.datetime, tol: float = 8.0, days: int = 30,
                   exclude_future: bool = False) -> DataFrame:
-    """Tracks with ``match_count, matches, truncated`` over earlier tracks of the site.
+    """Tracks with ``match_count, matches, truncated`` over earlier tracks of the site, and the sizes searched.
 
     Age is counted in whole days, so a match may be up to a day older than the window;
     rows after ``now`` pass unless excluded. ``history`` has ``site_id, ordinal,
@@ -91,7 +91,9 @@ def query_history(tracks: DataFrame, history: DataFrame, now: dt.datetime, tol:
     # Every track is answered: one without a site or a size matches nothing.
     out = tracks.join(found, ["site_id", "median_pixels_on_target"], "left").withColumns({
         "match_count": F.coalesce("match_count", F.lit(0)), "matches": F.coalesce("matches", F.array())})
-    return out.withColumns({"window_days": F.lit(days), "truncated": F.col("match_count") > 10})
+    px = F.col("median_pixels_on_target")
+    return out.withColumns({"window_days": F.lit(days), "truncated": F.col("match_count") > 10,
+                            "band_low_px": round_py(px - tol, 1), "band_high_px": round_py(px + tol, 1)})
 
 
 def evidence_bounds(tracks: DataFrame, clips: DataFrame | None = None, pre: float = 3.0, post: float = 3.0) -> DataFrame:

@@ -77,13 +77,13 @@ def zones(spark, sf):
 
 
 # --- J5, J6, J7 -----------------------------------------------------------------
-@query("j5_query_history", """
+@query("j5_query_history", f"""
   WITH h AS (SELECT user_id % 5 AS site_id, event_id, ts, value FROM events WHERE ts > TIMESTAMP '2024-03-01 12:00:00' - INTERVAL '31' DAY),
   t AS (SELECT o_orderkey AS asked, CASE WHEN o_orderkey % 11 <> 3 THEN o_custkey % 6 END AS site_id, CASE WHEN o_orderkey % 13 <> 4 THEN o_totalprice / 5000.0 END AS px FROM orders),
   m AS (SELECT t.asked, h.event_id FROM t JOIN h ON h.site_id = t.site_id AND h.value BETWEEN t.px - 8 AND t.px + 8),
   g AS (SELECT asked, count(*) AS n, list_slice(list_sort(list(event_id)), 1, 10) AS firsts FROM m GROUP BY asked)
-  SELECT t.asked, t.site_id, coalesce(g.n, 0) AS match_count, coalesce(array_to_string(g.firsts, ','), '') AS firsts, coalesce(g.n, 0) > 10 AS truncated
-  FROM t LEFT JOIN g USING (asked)""")
+  SELECT t.asked, t.site_id, coalesce(g.n, 0) AS match_count, coalesce(array_to_string(g.firsts, ','), '') AS firsts, coalesce(g.n, 0) > 10 AS truncated,
+         {_py('t.px - 8', 1)} AS band_low_px, {_py('t.px + 8', 1)} AS band_high_px FROM t LEFT JOIN g USING (asked)""")
 def history(spark, sf):
     e = table(spark, sf, "events").select(
         (F.col("user_id") % 5).alias("site_id"), F.col("event_id").alias("ordinal"), F.col("event_id").cast("string").alias("track_id"),
@@ -93,7 +93,7 @@ def history(spark, sf):
     t = table(spark, sf, "orders").select(asked.alias("asked"), F.when(asked % 11 != 3, F.col("o_custkey") % 6).alias("site_id"),
                                           F.when(asked % 13 != 4, F.col("o_totalprice") / 5000.0).alias("median_pixels_on_target"))
     out = tr.query_history(t, e, dt.datetime(2024, 3, 1, 12, tzinfo=dt.timezone.utc))
-    return out.select("asked", "site_id", "match_count", F.array_join(F.col("matches.track_id"), ",").alias("firsts"), "truncated")
+    return out.select("asked", "site_id", "match_count", F.array_join(F.col("matches.track_id"), ",").alias("firsts"), "truncated", "band_low_px", "band_high_px")
 
 
 @query("j6_evidence_bounds", ctes("fx_observations") + f""",
@@ -246,21 +246,22 @@ _PRESS = """SELECT event_id, ts AS received_at, CASE event_id % 5 WHEN 0 THEN 'c
 def _presses(spark, sf):
     p = spark.sql(_PRESS, events=table(spark, sf, "events"))
     action = F.struct("action_id", F.col("track_id").alias("value"))
-    return p.select("received_at", F.to_json(F.struct(F.array(action).alias("actions"), F.struct(F.col("who").alias("name")).alias("user"))).alias("payload"))
+    return p.select("received_at", F.to_json(F.struct(F.array(action).alias("actions"), F.struct(F.col("who").alias("name"), F.concat(F.lit("U"), F.col("who")).alias("id")).alias("user"))).alias("payload"))
 
 
 @query("j16_ingest_feedback", f"""WITH p AS ({_PRESS.format(events='events')}), d AS (SELECT CAST(c_custkey AS VARCHAR) AS track_id, c_custkey AS decision_id FROM customer WHERE c_custkey % 4 <> 0),
     j AS (SELECT p.*, d.decision_id, CASE WHEN action_id = 'other' THEN 'unrecognised action' WHEN p.track_id = '' THEN 'no track id' END AS refusal FROM p LEFT JOIN d USING (track_id))
   SELECT CASE WHEN refusal IS NOT NULL THEN refusal WHEN decision_id IS NULL THEN 'unmatched' ELSE 'stored' END AS state,
          CASE WHEN refusal IS NULL AND decision_id IS NOT NULL THEN CASE action_id WHEN 'confirm' THEN 'confirmed' WHEN 'dismiss_as_bird' THEN 'dismissed_as_bird' ELSE 'marked_authorized' END END AS response,
-         CASE WHEN refusal IS NULL AND decision_id IS NOT NULL THEN who END AS responder, received_at FROM j""")
+         CASE WHEN refusal IS NULL AND decision_id IS NOT NULL THEN who END AS responder,
+         CASE WHEN refusal IS NULL AND decision_id IS NOT NULL THEN coalesce('U' || who, '') END AS user_id, received_at FROM j""")
 def feedback(spark, sf):
     d = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").cast("string").alias("track_id"), F.col("c_custkey").alias("decision_id"))
     ok, lost, refused = ac.ingest_feedback(_presses(spark, sf), d)
     none = F.lit(None).cast("string")
-    return (ok.select(F.lit("stored").alias("state"), "response", "responder", "received_at")
-            .unionByName(lost.select(F.lit("unmatched").alias("state"), none.alias("response"), none.alias("responder"), "received_at"))
-            .unionByName(refused.select(F.col("refusal").alias("state"), none.alias("response"), none.alias("responder"), "received_at")))
+    return (ok.select(F.lit("stored").alias("state"), "response", "responder", "user_id", "received_at")
+            .unionByName(lost.select(F.lit("unmatched").alias("state"), none.alias("response"), none.alias("responder"), none.alias("user_id"), "received_at"))
+            .unionByName(refused.select(F.col("refusal").alias("state"), none.alias("response"), none.alias("responder"), none.alias("user_id"), "received_at")))
 
 
 @query("j17_feedback_labels", f"""WITH p AS ({_PRESS.format(events='events')}), f AS (SELECT track_id, arg_max(action_id, received_at) AS a FROM p WHERE action_id <> 'other' AND track_id <> '' GROUP BY 1),
@@ -294,14 +295,14 @@ def sanitised(spark, sf):
 
 
 # Odd denominators: no value lies on a tie of the rounding.
-_MEASURES = "((l_orderkey * 7 + l_partkey) % 100003) / CAST(100003 AS DOUBLE) AS confidence, (l_partkey * 13 % 100003) / CAST(1003 AS DOUBLE) AS px, (l_orderkey * 31 % 100003) / CAST(3001 AS DOUBLE) AS speed"
+_JOB_MEASURES = "((l_orderkey * 7 + l_partkey) % 100003) / CAST(100003 AS DOUBLE) AS confidence, (l_partkey * 13 % 100003) / CAST(1003 AS DOUBLE) AS px, (l_orderkey * 31 % 100003) / CAST(3001 AS DOUBLE) AS speed"
 
 
 @query("j21_job_summary", f"""SELECT l_suppkey AS job_id, CAST(count(*) AS INT) AS track_count, CAST(count(*) AS INT) AS listed, min(l_orderkey) AS first_number, bool_or(l_discount > 0.09) AS synthetic,
     min(round(confidence, 4)) AS min_confidence, max(round(confidence, 4)) AS max_confidence, max(round(px, 2)) AS max_pixels, min(round(speed, 4)) AS min_speed, max(round(speed, 4)) AS max_speed
-  FROM (SELECT *, {_MEASURES} FROM lineitem) GROUP BY 1""")
+  FROM (SELECT *, {_JOB_MEASURES} FROM lineitem) GROUP BY 1""")
 def summaries(spark, sf):
-    li = table(spark, sf, "lineitem").selectExpr("*", *_MEASURES.split(", ")).select(
+    li = table(spark, sf, "lineitem").selectExpr("*", *_JOB_MEASURES.split(", ")).select(
         F.col("l_suppkey").alias("job_id"), F.col("l_orderkey").alias("track_number"), F.col("l_returnflag").alias("label"), "confidence",
         F.col("l_linenumber").alias("first_frame"), F.col("l_partkey").alias("last_frame"), F.col("px").alias("median_pixels_on_target"),
         F.col("speed").alias("mean_speed"), (F.col("l_discount") > 0.09).alias("synthetic"))

@@ -105,6 +105,8 @@ def test_intervals(spark):
     assert 2400 < got[2500].low < 2403 and 2599 < got[2500].high < 2602
     w = one(spark, wilson(F.lit(0), F.lit(0)).alias("none"), wilson(F.lit(8), F.lit(10)).alias("some"))
     assert (w.none.low, w.none.high) == (0, 1) and w.some.low == pytest.approx(0.4901, abs=1e-3) and w.some.high == pytest.approx(0.9433, abs=1e-3)
+    with pytest.raises(Exception, match="within the trials"):
+        one(spark, wilson(F.lit(11), F.lit(10)).alias("w"))
 
 
 def test_chance(spark):
