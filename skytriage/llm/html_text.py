@@ -48,6 +48,8 @@ ENDS = {
     "a": (frozenset(["a"]), frozenset("td th table body".split())),
     "button": (frozenset(["button"]), frozenset("td th table body".split())),
 }
+#: Start tags that mean nothing where no table is open.
+TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 #: An end tag does not reach out of these.
 SCOPE = frozenset("table td th caption html body template".split())
 
@@ -114,6 +116,8 @@ class Tree:
                 self.body.attrs = {**attrs, **(self.body.attrs or {})}
             self.in_head = False
             return
+        if tag in TABLE_PARTS and not any(n.tag == "table" for n in stack):
+            return
         if tag not in HEAD_ONLY:
             self.in_head = False
         if tag in ENDS_P:

@@ -57,6 +57,12 @@ def test_visible_text(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<tr>x", "x"), ("<tbody>x", "x"), ("<thead>x", "x"), ("<caption>x", "x"), ("<table></table><tr>x", "x"), ("</table><tr>x", "x"), ("<table><tr><td>a</table><tr>b<td>c", "a\n\nbc")])
+def test_table_parts_without_a_table(page, want):
+    assert visible_text(page) == want
+
+
 def test_hostile_pages_end():
     assert visible_text("<div>" * 50000 + "deep").endswith("deep")
     assert visible_text("<a href='" * 2000).count("<") <= 2000 and visible_text("<b>x" * 20000).startswith("xx")
