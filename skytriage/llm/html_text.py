@@ -37,12 +37,6 @@ ENDS = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir table td th body".split())),
     "dt": (frozenset(["dt", "dd"]), frozenset("dl table td th body".split())),
     "dd": (frozenset(["dt", "dd"]), frozenset("dl table td th body".split())),
-    "tr": (frozenset("tr td th caption colgroup".split()), frozenset("table body".split())),
-    "td": (frozenset(["td", "th"]), frozenset("tr table body".split())),
-    "th": (frozenset(["td", "th"]), frozenset("tr table body".split())),
-    "thead": (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset("table body".split())),
-    "tbody": (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset("table body".split())),
-    "tfoot": (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset("table body".split())),
     "option": (frozenset(["option"]), frozenset("select datalist optgroup body".split())),
     "optgroup": (frozenset("option optgroup".split()), frozenset("select body".split())),
     "a": (frozenset(["a"]), frozenset("td th table body".split())),
@@ -50,6 +44,12 @@ ENDS = {
 }
 #: Start tags that mean nothing where no table is open.
 TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+#: Open elements whose children are rows and cells only: other text and elements go in front of the table.
+TABLE_INNER = frozenset("table thead tbody tfoot tr".split())
+#: What stays inside a table without being seen.
+TABLE_UNSEEN = frozenset("style script template".split())
+#: Table part: the open elements it may be a child of.
+TABLE_PLACE = {t: frozenset(["table"]) for t in TABLE_PARTS} | {"col": frozenset("table colgroup".split()), "tr": frozenset("table thead tbody tfoot".split())} | {t: TABLE_INNER for t in ("td", "th")}
 #: An end tag does not reach out of these.
 SCOPE = frozenset("table td th caption html body template".split())
 
@@ -86,15 +86,28 @@ class Tree:
 
     def text(self, data: str) -> None:
         if data:
-            top = self.stack[-1]
-            if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not data.isspace():
-                # Text between rows belongs in front of the table.
-                k = len(self.stack) - 1
-                while self.stack[k].tag != "table":
-                    k -= 1
-                self.stack[k - 1].kids.insert(max(0, len(self.stack[k - 1].kids) - 1), data)
+            if not data.isspace():
+                self._leave_columns()
+            if self.stack[-1].tag in TABLE_INNER and not data.isspace():
+                self._before_table(data)
             else:
-                top.kids.append(data)
+                self.stack[-1].kids.append(data)
+
+    def _table(self) -> int:
+        """Place of the innermost open table on the stack, 0 if none is open or a template lies in between."""
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag in ("table", "template"):
+                return k if self.stack[k].tag == "table" else 0
+        return 0
+
+    def _before_table(self, kid: Node | str) -> None:
+        """Put what may not be a child of a table or row in front of the table, which is its parent's last child."""
+        kids = self.stack[self._table() - 1].kids
+        kids.insert(len(kids) - 1, kid)
+
+    def _leave_columns(self) -> None:
+        if self.stack[-1].tag == "colgroup":
+            self.stack.pop()
 
     def _close(self, names: frozenset, until: frozenset) -> None:
         """End the outermost open element of ``names`` that is not outside ``until``, and all inside it."""
@@ -116,8 +129,19 @@ class Tree:
                 self.body.attrs = {**attrs, **(self.body.attrs or {})}
             self.in_head = False
             return
-        if tag in TABLE_PARTS and not any(n.tag == "table" for n in stack):
-            return
+        if tag in TABLE_PARTS:
+            # What is open above the place of a part ends, a part without a table is ignored.
+            k = self._table()
+            if not k:
+                return
+            while stack[-1].tag not in TABLE_PLACE[tag]:
+                stack.pop()
+        elif tag not in TABLE_UNSEEN:
+            self._leave_columns()
+        if tag == "table" and (k := self._table()) and not any(n.tag in ("td", "th", "caption") for n in stack[k:]):
+            del stack[k:]
+        if tag == "form" and stack[-1].tag in TABLE_INNER:
+            return  # the rows after it stay rows of the table
         if tag not in HEAD_ONLY:
             self.in_head = False
         if tag in ENDS_P:
@@ -139,7 +163,10 @@ class Tree:
 
     def _push(self, tag: str, attrs: dict | None) -> None:
         node = Node(tag, attrs)
-        (self.head if self.in_head and tag in HEAD_ONLY else self.stack[-1]).kids.append(node)
+        if self.stack[-1].tag in TABLE_INNER and tag not in TABLE_PARTS and tag not in TABLE_UNSEEN:
+            self._before_table(node)
+        else:
+            (self.head if self.in_head and tag in HEAD_ONLY else self.stack[-1]).kids.append(node)
         if tag not in VOID and len(self.stack) < MAX_DEPTH:
             self.stack.append(node)
 

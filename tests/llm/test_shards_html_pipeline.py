@@ -63,6 +63,15 @@ def test_table_parts_without_a_table(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<table><form><tr><td>x</table>", "x"), ("<table><tr><form><td>x</table>", "x"), ("<table><p>x</p><tr><td>y</table>", "x\n\ny"), ("<table><tr><div>x</div></tr></table>", "x"), ("<table><a href=u>x</a></table>", "x"),
+    ("<table><div>a<tr><td>b<td>c</div>d</table>e", "a\n\nb  cd\n\ne"), ("<table><tr><td>a<tr><b>x</b><td>b</table>", "x\n\na\nb"), ("<table><tbody><p>x<tr><td>y", "x\n\ny"), ("<table><colgroup><p>x</p><tr><td>y", "x\n\ny"), ("<table><colgroup>x<tr><td>y", "x\n\ny"),
+    ("<table><caption>c<tr><td>y", "c\ny"), ("<table><caption>c<td>y", "c\ny"), ("<table><tr><table><tr><td>y", "y"), ("<table><tr><td>a<table><tr><td>b</table></table>", "a\n\nb"), ("<table><tr><script>no</script><style>no</style><td>y", "y"), ("<table><textarea>x</textarea><tr><td>y", "x\n\ny"),
+    ("<table><template><tr><p>no</template><tr><td>y", "y"), ("<table style='display:none'><tr><td>no</table>y", "y"), ("<table><tr><select><option>x</select><td>y", "x\n\ny")])
+def test_text_in_tables_outside_of_cells(page, want):
+    assert visible_text(page) == want
+
+
 def test_hostile_pages_end():
     assert visible_text("<div>" * 50000 + "deep").endswith("deep")
     assert visible_text("<a href='" * 2000).count("<") <= 2000 and visible_text("<b>x" * 20000).startswith("xx")
