@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deeper elements become siblings, as in browsers.
-MAX_DEPTH = 120
+#: Lists, quotes, cells and preformatted blocks inside each other that are laid out each on its own. Those
+#: deeper keep all their text, lines and marks, without more indentation or columns.
+MAX_NEST = 120
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +53,8 @@ TABLE_UNSEEN = frozenset("style script template".split())
 TABLE_PLACE = {t: frozenset(["table"]) for t in TABLE_PARTS} | {"col": frozenset("table colgroup".split()), "tr": frozenset("table thead tbody tfoot".split())} | {t: TABLE_INNER for t in ("td", "th")}
 #: An end tag does not reach out of these.
 SCOPE = frozenset("table td th caption html body template".split())
+#: End tags that reach out of cells and captions, though not out of a table.
+TABLE_ENDS = frozenset("table tr tbody thead tfoot td th caption".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</[^A-Za-z][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -82,8 +85,23 @@ class Tree:
     def __init__(self):
         self.head, self.body = Node("head"), Node("body")
         self.stack = [self.body]
+        #: Places on the stack by tag, so that no lookup goes through a deep stack.
+        self.places: dict[str, list[int]] = {}
         self.in_head = True
 
+    def _nearest(self, *tags: str) -> int:
+        """Place of the innermost open element with one of the tags, 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def _open(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def _cut(self, k: int) -> None:
+        """End the open elements from place ``k`` on."""
+        while len(self.stack) > k:
+            self.places[self.stack.pop().tag].pop()
+
     def text(self, data: str) -> None:
         if data:
             if not data.isspace():
@@ -95,10 +113,8 @@ class Tree:
 
     def _table(self) -> int:
         """Place of the innermost open table on the stack, 0 if none is open or a template lies in between."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in ("table", "template"):
-                return k if self.stack[k].tag == "table" else 0
-        return 0
+        k = self._nearest("table")
+        return k if k > self._nearest("template") else 0
 
     def _before_table(self, kid: Node | str) -> None:
         """Put what may not be a child of a table or row in front of the table, which is its parent's last child."""
@@ -107,18 +123,13 @@ class Tree:
 
     def _leave_columns(self) -> None:
         if self.stack[-1].tag == "colgroup":
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def _close(self, names: frozenset, until: frozenset) -> None:
-        """End the outermost open element of ``names`` that is not outside ``until``, and all inside it."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[k].tag
-            if tag in names:
-                del self.stack[k:]
-                return self._close(names, until) if len(names) > 2 else None
-            if tag in until:
-                return None
-        return None
+        """End the innermost open element of ``names`` that is not outside ``until``, and all inside it."""
+        k = self._nearest(*names)
+        if k > self._nearest(*until):
+            self._cut(k)
 
     def start(self, tag: str, attrs: dict | None) -> None:
         stack = self.stack
@@ -134,25 +145,21 @@ class Tree:
             k = self._table()
             if not k:
                 return
-            while stack[-1].tag not in TABLE_PLACE[tag]:
-                stack.pop()
+            self._cut(self._nearest(*TABLE_PLACE[tag]) + 1)
         elif tag not in TABLE_UNSEEN:
             self._leave_columns()
-        if tag == "table" and (k := self._table()) and not any(n.tag in ("td", "th", "caption") for n in stack[k:]):
-            del stack[k:]
+        if tag == "table" and (k := self._table()) > self._nearest("td", "th", "caption"):
+            self._cut(k)
         if tag == "form" and stack[-1].tag in TABLE_INNER:
             return  # the rows after it stay rows of the table
         if tag not in HEAD_ONLY:
             self.in_head = False
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE or stack[k].tag == "button":
-                    break
+            k = self._nearest("p")
+            if k and k > self._nearest("button", *SCOPE):
+                self._cut(k)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            self._cut(len(stack) - 1)
         if tag in ENDS:
             self._close(*ENDS[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -167,25 +174,20 @@ class Tree:
             self._before_table(node)
         else:
             (self.head if self.in_head and tag in HEAD_ONLY else self.stack[-1]).kids.append(node)
-        if tag not in VOID and len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
+        if tag not in VOID:
+            self._open(node)
 
     def end(self, tag: str) -> None:
-        stack = self.stack
         if tag in ("html", "body", "head"):
             return
         if tag == "br":
             return self.start("br", None)
-        for k in range(len(stack) - 1, 0, -1):
-            open_ = stack[k].tag
-            if open_ == tag or tag in HEADINGS and open_ in HEADINGS:
-                del stack[k:]
-                return None
-            if open_ in SCOPE and not (tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption") and open_ != "table"):
-                break
+        k = self._nearest(*(HEADINGS if tag in HEADINGS else (tag,)))
+        if k and k >= self._nearest(*(("table",) if tag in TABLE_ENDS else SCOPE)):
+            return self._cut(k)
         if tag == "p":
             self._push("p", None)
-            stack.pop()
+            self._cut(len(self.stack) - 1)
         return None
 
 
@@ -276,7 +278,24 @@ class Lines:
         self.gap = True
 
 
-def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, depth: int = 0) -> None:
+def drive(task: Generator) -> object:
+    """Result of a task that yields the tasks it waits for; a list takes the place of the call stack, so depth has no limit."""
+    waiting, value = [task], None
+    while waiting:
+        try:
+            task = waiting[-1].send(value)
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+        else:
+            waiting.append(task)
+            value = None
+    return value
+
+
+def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, depth: int = 0, nest: int = 0) -> Generator:
+    """Task that adds the lines of an element; ``depth`` counts lists, ``nest`` all that has lines of its own."""
+    flat = nest >= MAX_NEST
     numbers = _numbers(node) if node.tag == "ol" else None
     for kid in node.kids:
         if isinstance(kid, str):
@@ -295,15 +314,35 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
             out.space()
         elif tag == "table":
             out.space()
-            rows = table(kid, seen)
+            if flat:
+                yield render(kid, out, seen, False, 0, nest)
+                out.space()
+                continue
+            rows = yield table(kid, seen, nest + 1)
             if rows:
                 out.put([out.mark + rows[0], *(" " * len(out.mark) + r for r in rows[1:])])
                 out.mark = ""
             out.gap = True
+        elif flat and tag in ("td", "th"):
+            out.inline(" ")
+            yield render(kid, out, seen, pre, 0, nest)
+            out.inline(" ")
+        elif flat and tag == "li":
+            out.flush()
+            before, lines = out.mark, len(out.done)
+            out.mark = before + (f"{numbers[id(kid)]}. " if numbers else "- ")
+            yield render(kid, out, seen, pre, depth + 1, nest)
+            out.flush()
+            out.mark = before if len(out.done) == lines else ""
+        elif flat and tag in ("pre", "listing", "xmp", "plaintext", "blockquote", "dd", "ul", "ol", "menu", "dir", "dl"):
+            out.flush()
+            out.gap = out.gap or tag in ("pre", "listing", "xmp", "plaintext", "blockquote")
+            yield render(kid, out, seen, pre or tag in ("pre", "listing", "xmp", "plaintext"), depth, nest)
+            out.flush()
         elif tag in ("pre", "listing", "xmp", "plaintext"):
             out.space()
             inner = Lines()
-            render(kid, inner, seen, True, depth)
+            yield render(kid, inner, seen, True, depth, nest + 1)
             text = inner.open[1:] if inner.open.startswith("\n") else inner.open
             lines = [*inner.done, *text.rstrip("\n").split("\n")] if text.strip() else inner.done
             if lines:
@@ -312,7 +351,7 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
         elif tag == "li":
             out.flush()
             inner = Lines()
-            render(kid, inner, seen, pre, depth + 1)
+            yield render(kid, inner, seen, pre, depth + 1, nest + 1)
             inner.flush()
             mark = f"{numbers[id(kid)]}. " if numbers else "- "
             if inner.done:
@@ -320,7 +359,7 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
         elif tag in ("ul", "ol", "menu", "dir", "dl"):
             (out.flush if depth else out.space)()
             inner = Lines()
-            render(kid, inner, seen, pre, depth + 1)
+            yield render(kid, inner, seen, pre, depth + 1, nest + 1)
             inner.flush()
             if inner.done:
                 out.put(inner.done)
@@ -328,7 +367,7 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
         elif tag == "blockquote":
             out.space()
             inner = Lines()
-            render(kid, inner, seen, pre, depth)
+            yield render(kid, inner, seen, pre, depth, nest + 1)
             inner.flush()
             out.put(["  " + x if x else x for x in inner.done])
             out.gap = True
@@ -339,24 +378,24 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
         elif tag == "dd":
             out.flush()
             inner = Lines()
-            render(kid, inner, seen, pre, depth)
+            yield render(kid, inner, seen, pre, depth, nest + 1)
             inner.flush()
             if inner.done:
                 out.put(["  " + x if x else x for x in inner.done])
         elif tag in SPACED:
             out.space()
-            render(kid, out, seen, pre, depth)
+            yield render(kid, out, seen, pre, depth, nest)
             out.space()
         elif tag in PLAIN_BLOCK:
             out.flush()
-            render(kid, out, seen, pre, depth)
+            yield render(kid, out, seen, pre, depth, nest)
             out.flush()
         elif tag == "q":
             out.inline('"') if seen else None
-            render(kid, out, seen, pre, depth)
+            yield render(kid, out, seen, pre, depth, nest)
             out.open += '"' if seen else ""
         else:
-            render(kid, out, seen, pre, depth)
+            yield render(kid, out, seen, pre, depth, nest)
 
 
 def _integer(text: str | None, default: int) -> int:
@@ -387,15 +426,15 @@ def _rows(node: Node, visible: bool) -> Iterator[tuple[Node, bool]]:
                 yield from _rows(kid, seen)
 
 
-def table(node: Node, visible: bool) -> list[str]:
-    """Lines of a table: captions first, then rows with columns as wide as their widest cell, two spaces apart."""
+def table(node: Node, visible: bool, nest: int) -> Generator:
+    """Task that gives the lines of a table: captions first, then rows with columns as wide as their widest cell, two spaces apart."""
     lines: list[str] = []
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "caption":
             there, seen = _shown(kid, visible)
             if there:
                 inner = Lines()
-                render(kid, inner, seen)
+                yield render(kid, inner, seen, nest=nest)
                 inner.flush()
                 lines += inner.done
     grid: list[dict[int, tuple[list[str], int]]] = []
@@ -414,7 +453,7 @@ def table(node: Node, visible: bool) -> list[str]:
             attrs = cell.attrs or {}
             wide, high = min(max(_integer(attrs.get("colspan"), 1), 1), 1000), min(max(_integer(attrs.get("rowspan"), 1), 1), 65534)
             inner = Lines()
-            render(cell, inner, own)
+            yield render(cell, inner, own, nest=nest)
             inner.flush()
             cells[at] = (inner.done, wide)
             for k in range(at, at + wide):
@@ -454,7 +493,7 @@ def visible_text(page: str | None) -> str:
     there, seen = _shown(body, True)
     out = Lines()
     if there:
-        render(body, out, seen)
+        drive(render(body, out, seen))
         out.flush()
     return "\n".join(x.rstrip() for x in out.done).strip("\n")
 

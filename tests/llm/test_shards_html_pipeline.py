@@ -72,6 +72,21 @@ def test_text_in_tables_outside_of_cells(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize("depth", [119, 130, 20000])
+def test_depth_changes_nothing(depth):
+    top = "<font>" * depth
+    for hidden in ("<script>no</script>", "<style>no</style>", "<div style='display:none'><b>no</b></div>", "<p hidden>no</p>"):
+        assert visible_text(f"{top}a{hidden}") == "a"
+    assert visible_text(f"{top}<ul><li>one<li>two<ul><li>in</ul></ul>") == "- one\n- two\n  - in"
+    assert visible_text(f"{top}<table><tr><td>a b<td>c<tr><td>d<td>e</table>") == "a b  c\nd    e"
+
+
+@pytest.mark.parametrize("open_", ["<ul><li>", "<ol><li>", "<table><tr><td>", "<blockquote>", "<dl><dd>", "<pre>"])
+def test_text_of_deep_blocks_stays(open_):
+    got = visible_text("".join(f"{open_}w{k} <script>no</script>" for k in range(3000)))
+    assert [w for w in got.split() if w.startswith("w")] == [f"w{k}" for k in range(3000)] and "no" not in got
+
+
 def test_hostile_pages_end():
     assert visible_text("<div>" * 50000 + "deep").endswith("deep")
     assert visible_text("<a href='" * 2000).count("<") <= 2000 and visible_text("<b>x" * 20000).startswith("xx")
