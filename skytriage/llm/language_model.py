@@ -1,11 +1,14 @@
 """Masked pseudo-likelihood of documents (operator 3).
 
-A small network sees the two words on either side of a masked word and predicts it; the score
-of a document is the sum of the log-probabilities of all its words. Words are classed: the
-most frequent ones of the corpus are classes of their own, the others share classes by the
-hash of their ending. Counting covers every document, and so does training: each task goes
-over its documents once, and the weights are averaged by numbers of words. The network has a
-fixed size, so what is sent to the tasks does not grow with the corpus.
+The score of a document is the sum of the log-probabilities of its words, each given the words
+on either side: log P(class | both sides) + log P(word | class). Words are classed: the most
+frequent ones of the corpus are classes of their own, the others share classes by the hash of
+their ending; how many classes there are follows the vocabulary (``classes_for``). A small
+network predicts the class of a masked word from the classes of the two words on either side.
+The share of a word in its class comes from the counts of all words of the corpus: those of the
+``KNOWN`` most frequent are sent to the tasks, the others stay in Spark and are joined by word.
+Counting covers every document, and so does training: each task goes over its documents once,
+and the weights are averaged by numbers of words.
 """
 
 from __future__ import annotations
@@ -24,8 +27,14 @@ from skytriage.llm.common import add_vectors, fold
 from skytriage.llm.decontaminate import words_of
 from skytriage.session import durable
 
+#: Fewest classes; a quarter of the classes are endings.
 CLASSES = 128
-ENDINGS = 32
+ENDING_SHARE = 4
+#: Words with at least this count make the vocabulary that sets the number of classes.
+SEEN = 5
+#: Most frequent words, whose counts are sent to the tasks. No other word can have more than 1 / KNOWN of all
+#: occurrences, so the join by word has no hot key.
+KNOWN = 1 << 15
 WINDOW = 2
 HIDDEN = 24
 BATCH = 4096
@@ -59,44 +68,84 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Classes(dict):
-    """Class of a word in bytes, remembered up to ``WORD_CACHE`` words."""
+def classes_for(vocabulary: int) -> int:
+    """Number of classes: the largest power of two up to the root of the vocabulary, from ``CLASSES`` to 65,536."""
+    return min(max(CLASSES, 1 << max(0, vocabulary.bit_length() - 1) // 2), 1 << 16)
 
-    def __init__(self, frequent: list[str]):
-        self.own = {w.encode(): k + 1 for k, w in enumerate(frequent)}
+
+def letters(classes: int) -> np.dtype:
+    """The type that holds a class."""
+    return np.dtype(np.uint8 if classes <= 256 else "<u2")
+
+
+class Codes(dict):
+    """Code of a word in bytes: its rank among the known words or, for others, their number plus the class.
+
+    Others are remembered up to ``WORD_CACHE`` words. ``kind`` gives the class of each code.
+    """
+
+    def __init__(self, known: list[str], classes: int):
+        self.classes, self.endings = classes, classes // ENDING_SHARE
+        self.own = {w.encode(): k for k, w in enumerate(known)}
+        own = classes - self.endings - 1
+        self.kind = np.array([k + 1 if k < own else self.ending(w) for k, w in enumerate(self.own)] + list(range(classes)), dtype=np.int64)
         super().__init__(self.own)
 
+    def ending(self, word: bytes) -> int:
+        return self.classes - self.endings + zlib.crc32(word[-2:]) % self.endings
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
+        if len(self) > WORD_CACHE + len(self.own):
             self.clear()
             self.update(self.own)
-        got = self.own.get(word) or CLASSES - ENDINGS + zlib.crc32(word[-2:]) % ENDINGS
-        self[word] = got
+        got = self[word] = len(self.own) + self.ending(word)
         return got
 
 
-def frequent_words(counts: DataFrame) -> list[str]:
-    """Words that are classes of their own: the most frequent, then in alphabetical order."""
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES - ENDINGS - 1).collect()]
+def known_words(counts: DataFrame) -> list[tuple[str, int]]:
+    """The most frequent words, then in alphabetical order, with their counts; the first of them are classes of their own."""
+    least, words = 0, 0
+    for r in sorted(counts.groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        least, words = r["n"], words + r["count"]
+        if words >= KNOWN:
+            break
+    # Few more words than KNOWN are that frequent, so no task hands the driver a list of that length.
+    return [(r["word"], r["n"]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+
+
+def class_sizes(counts: DataFrame, known: list[tuple[str, int]], classes: int) -> np.ndarray:
+    """Occurrences of all words of each ending class; 1 for a class that is a word of its own."""
+    endings = classes // ENDING_SHARE
+    kind = F.lit(classes - endings) + F.crc32(F.expr("substring(cast(word AS binary), -2, 2)")) % endings
+    out = np.ones(classes, dtype=np.int64)
+    for r in counts.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
+        out[r["kind"]] = r["n"]
+    codes = Codes([], classes)
+    for word, n in known[: classes - endings - 1]:
+        out[codes.ending(word.encode())] -= n
+    return np.maximum(out, 1)
 
 
 class Network:
     """Weights: a table per place of the window, hidden bias, output matrix and bias."""
 
-    SHAPES = ((2 * WINDOW, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
     PLACES = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
+        if flat is not None:
+            classes = (len(flat) - HIDDEN) // ((2 * WINDOW + 1) * HIDDEN + 1)
+        self.classes = classes
+        self.shapes = ((2 * WINDOW, classes, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
         if flat is None:
             rng = np.random.default_rng(11)
-            self.parts = [rng.normal(0, 0.1, s).astype(np.float32) for s in self.SHAPES]
+            self.parts = [rng.normal(0, 0.1, s).astype(np.float32) for s in self.shapes]
         else:
             self.parts, at = [], 0
-            for s in self.SHAPES:
+            for s in self.shapes:
                 n = int(np.prod(s))
                 self.parts.append(flat[at: at + n].reshape(s).astype(np.float32))
                 at += n
-        self.squares = [np.full(s, 1e-2, dtype=np.float32) for s in self.SHAPES]
+        self.squares = [np.full(s, 1e-2, dtype=np.float32) for s in self.shapes]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
@@ -121,11 +170,11 @@ class Network:
         g[np.arange(n), target] -= 1
         g /= n
         dz = (g @ self.parts[2].T) * (1 - h * h)
-        tables = np.empty(self.SHAPES[0], dtype=np.float32)
+        tables = np.empty(self.shapes[0], dtype=np.float32)
         columns = np.ascontiguousarray(dz.T)
         for k, ids in enumerate(context):
             for j in range(HIDDEN):
-                tables[k, :, j] = np.bincount(ids, weights=columns[j], minlength=CLASSES)
+                tables[k, :, j] = np.bincount(ids, weights=columns[j], minlength=self.classes)
         for part, square, grad in zip(self.parts, self.squares, (tables, dz.sum(axis=0), h.T @ g, g.sum(axis=0))):
             square += grad * grad
             part -= RATE * grad / np.sqrt(square)
@@ -135,27 +184,46 @@ class Network:
         return [padded[at + k] for k in cls.PLACES]
 
 
-def _padded(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(documents: list[bytes], kind: np.dtype = letters(CLASSES)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all documents in a row with edges between them, the places of the words, and the document of each."""
-    edge = bytes([EDGE]) * WINDOW
-    row = np.frombuffer(edge + edge.join(documents) + edge, dtype=np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, documents), dtype=np.int64, count=len(documents))
+    edge = np.full(WINDOW, EDGE, dtype=kind).tobytes()
+    row = np.frombuffer(edge + edge.join(documents) + edge, dtype=kind).astype(np.int64)
+    sizes = np.fromiter(map(len, documents), dtype=np.int64, count=len(documents)) // kind.itemsize
     starts = WINDOW + np.concatenate(([0], np.cumsum(sizes + WINDOW)[:-1])) if len(sizes) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(documents)), sizes)
     first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
     return row, np.arange(len(owner)) - first[owner] + starts[owner], owner
 
 
-def encode(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """``doc_id, classes``: a byte per word."""
+def encode(docs: DataFrame, known: list[str], counts: list[int] | None = None, classes: int = CLASSES) -> DataFrame:
+    """``row, doc_id, classes, log_count, rare``.
+
+    A number of the row, the class of each word as ``letters`` in a row, the sum of the
+    logarithms of ``counts`` over words that are known but no classes of their own, and the
+    words that are not known.
+    """
+    own = classes - classes // ENDING_SHARE - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(frequent)
+        codes, n = Codes(known, classes), 0
+        logs = np.zeros(len(codes.kind))
+        if counts:
+            logs[own: len(known)] = np.log(counts[own:])
+        first = TaskContext.get().partitionId() << 36
         for batch in batches:
-            coded = [bytes(map(classes.__getitem__, words_of(t.as_py()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], names=["doc_id", "classes"])
+            coded, sums, rare = [], [], []
+            for t in batch.column(1):
+                words = words_of(t.as_py())
+                found = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
+                coded.append(codes.kind[found].astype(letters(classes)).tobytes())
+                sums.append(logs[found].sum())
+                rare.append([words[k].decode() for k in np.flatnonzero(found >= len(known))])
+            rows = np.arange(first + n, first + n + len(coded))
+            n += len(coded)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(coded, pa.binary()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.string()))],
+                                             names=["row", "doc_id", "classes", "log_count", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, classes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {dict(docs.dtypes)['doc_id']}, classes binary, log_count double, rare array<string>")
 
 
 def train_round(coded: DataFrame, start: np.ndarray) -> np.ndarray:
@@ -164,7 +232,7 @@ def train_round(coded: DataFrame, start: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = Network(start), 0
         for batch in batches:
-            row, at, _ = _padded(batch.column(0).to_pylist())
+            row, at, _ = _padded(batch.column(0).to_pylist(), letters(net.classes))
             for k in range(0, len(at), BATCH):
                 part = at[k: k + BATCH]
                 net.learn(Network.context(row, part), row[part])
@@ -177,14 +245,18 @@ def train_round(coded: DataFrame, start: np.ndarray) -> np.ndarray:
     return total[:-1] / total[-1] if total[-1] > 0 else start
 
 
-def log_probabilities(net: Network, documents: list[bytes]) -> np.ndarray:
-    """Sum over the words of each document of the log-probability given both sides."""
-    row, at, owner = _padded(documents)
+def log_probabilities(net: Network, documents: list[bytes], sizes: np.ndarray | None = None) -> np.ndarray:
+    """Sum over the words of each document of the log-probability of their classes given both sides.
+
+    With ``sizes``, less the logarithm of the size of each class.
+    """
+    row, at, owner = _padded(documents, letters(net.classes))
+    less = np.zeros(net.classes) if sizes is None else np.log(sizes)
     out = np.zeros(len(documents))
     for k in range(0, len(at), BATCH):
         part = at[k: k + BATCH]
         _, logp = net.forward(Network.context(row, part))
-        out += np.bincount(owner[k: k + BATCH], weights=logp[np.arange(len(part)), row[part]].astype(np.float64), minlength=len(documents))
+        out += np.bincount(owner[k: k + BATCH], weights=logp[np.arange(len(part)), row[part]].astype(np.float64) - less[row[part]], minlength=len(documents))
     return out
 
 
@@ -196,16 +268,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     averaged over tasks, so the last digits depend on how the table is split into files.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded = durable(encode(docs, frequent_words(word_counts(docs))))
-    weights = train_round(coded.where(fold(F.col("doc_id"), WARM_UP) == 0), Network().flat())
+    counts = durable(word_counts(docs))
+    classes = classes_for(counts.where(F.col("n") >= SEEN).count())
+    known = known_words(counts)
+    sizes = class_sizes(counts, known, classes)
+    coded = durable(encode(docs, [w for w, _ in known], [n for _, n in known], classes))
+    weights = train_round(coded.where(fold(F.col("doc_id"), WARM_UP) == 0), Network(classes=classes).flat())
     weights = train_round(coded, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
         for batch in batches:
-            documents = batch.column(1).to_pylist()
-            sums, n = log_probabilities(net, documents), [len(d) for d in documents]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array([s / k if k else None for s, k in zip(sums.tolist(), n)], pa.float64())],
-                                             names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return coded.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, log_prob double, mean_log_prob double")
+            documents = batch.column(2).to_pylist()
+            sums = log_probabilities(net, documents, sizes) + batch.column(3).to_numpy()
+            n = [len(d) // letters(classes).itemsize for d in documents]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums)], names=["row", "doc_id", "n_words", "known"])
+
+    scored = coded.select("row", "doc_id", "classes", "log_count").mapInArrow(run, f"row bigint, doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, known double")
+    # A word that occurs once adds log 1.
+    rare = (coded.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") > 1), "word")
+            .groupBy("row").agg(F.sum(F.log("n")).alias("rare")))
+    total = F.col("known") + F.coalesce("rare", F.lit(0.0))
+    return scored.join(rare, "row", "left").select("doc_id", "n_words", total.alias("log_prob"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_prob"))

@@ -189,3 +189,47 @@ def test_scores_of_odd_documents(spark, odd):
     assert all(alone[k]["n_words"] == 0 and alone[k]["log_prob"] == 0 and alone[k]["mean_log_prob"] is None for k in (1, 2, 3, 4, 9))
     assert all(r["log_prob"] < 0 for r in got if r["n_words"])
     assert language_model.score(odd.limit(0)).count() == 0
+
+
+def test_words_of_one_class_differ_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "KNOWN", 130)
+    rng = random.Random(3)
+    usual = [f"w{k}z" for k in range(95)]
+    rows = [(k, " ".join(rng.choice(usual) for _ in range(60)) + " " + tail) for k, tail in enumerate(["oftenx qx"] * 40 + ["seldomqx qx", "oncegqx qx"] + [f"filler{j}x fx fx fx" for j in range(60)])]
+    rows += [(200, "alpha qx"), (201, "oftenx qx"), (202, "bravo"), (203, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    counts = {}
+    for _, t in rows:
+        for w in decontaminate.words_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    known = sorted(counts, key=lambda w: (-counts[w], w))
+    own, codes = set(known[:95]), language_model.Codes([], 128)
+    total = {}
+    for w, n in counts.items():
+        if w not in own:
+            total[codes.ending(w)] = total.get(codes.ending(w), 0) + n
+    frame = language_model.word_counts(docs)
+    pairs = language_model.known_words(frame)
+    assert pairs == [(w.decode(), counts[w]) for w in known[:130]] and len(known) > 140
+    sizes = language_model.class_sizes(frame, pairs, 128)
+    assert {k: n for k, n in enumerate(sizes.tolist()) if n > 1} == {k: n for k, n in total.items() if n > 1}
+    # With the network left untrained, the whole sum can be recounted.
+    monkeypatch.setattr(language_model, "train_round", lambda coded, start: start)
+    net, of = language_model.Network(), {w: k + 1 for k, w in enumerate(known[:95])}
+    got = language_model.score(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = decontaminate.words_of(dict(rows)[r["doc_id"]])
+        want = language_model.log_probabilities(net, [bytes(of.get(w) or codes.ending(w) for w in words)])[0]
+        want += sum(np.log(counts[w] / total[codes.ending(w)]) for w in words if w not in own)
+        assert abs(r["log_prob"] - want) <= 1e-4 * abs(want)
+
+
+def test_classes_follow_the_vocabulary(spark):
+    assert [language_model.classes_for(v) for v in (0, 1, 16384, 65535, 65536, 1 << 20, 1 << 40)] == [128, 128, 128, 128, 256, 1024, 65536]
+    docs = spark.createDataFrame([(k, "one two three other") for k in range(20)], "doc_id bigint, text string")
+    coded = language_model.encode(docs, ["one", "two", "three"], [20, 20, 20], 1024)
+    start = language_model.Network(classes=1024).flat()
+    net = language_model.Network(language_model.train_round(coded, start))
+    text = coded.first()["classes"]
+    assert net.classes == 1024 and len(text) == 8 and language_model.log_probabilities(net, [text])[0] > language_model.log_probabilities(language_model.Network(start), [text])[0]
