@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skytriage.llm import decontaminate, language, simhash, toxicity, transducer
 from skytriage.llm.common import table
 from skytriage.llm.queries import TOKENIZER
-from skytriage.session import ensure_checkpoint_dir
+from skytriage.session import durable, ensure_checkpoint_dir
 
 #: A document stays if its most likely language has at least this probability.
 LANGUAGE_SCORE = 0.5
@@ -33,10 +33,15 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows that repeat that id, one."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id, null ids last, of rows that share it one.
+
+    Rows are told apart by a number of their own, so what shares an id or has none, but not its text, stays.
+    """
+    numbered = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("absent"), F.col("doc.doc_id").alias("id"), "row")
+    found = simhash.near_duplicates(numbered.select(order.alias("place"), F.col("doc.text").alias("text")), "place")
+    kept = found.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("row"))
+    return numbered.join(kept, "row", "left_semi").select("doc.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

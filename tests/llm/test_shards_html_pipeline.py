@@ -124,3 +124,11 @@ def test_run_and_odd_documents(spark, odd):
         assert stage(spark, odd.limit(0), SF).count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
     assert kept.where("doc_id = 60").count() <= 1
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (1, text["c"]), (1, text["d"]), (2, text["d"]), (None, text["d"]), (3, text["e"]), (3, text["e"]), (5, text["f"]), (4, text["f"]), (5, text["c"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, text["a"]), (None, text["b"]), (1, text["c"]), (1, text["d"]), (3, text["e"]), (4, text["f"])], key=str)
