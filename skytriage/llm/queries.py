@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytriage.llm import decontaminate, embeddings, html_text, language, language_model, sharding, simhash, token_counts, toxicity, transducer
+from skytriage.llm import decontaminate, divergence, embeddings, html_text, language, language_model, sharding, simhash, token_counts, toxicity, transducer
 from skytriage.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,7 +66,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, per pair and by their telling terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_toxicity, op3_pseudo_likelihood, op4_html_text, op5_token_counts, op6_bpe_codec,
-                                   op7_embedding_near_dedup, op8_simhash_near_dedup, op9_language_id, op10_decontamination)}
+                                   op7_embedding_near_dedup, op8_simhash_near_dedup, op9_language_id, op10_decontamination, op11_source_divergence)}
 #: The others learn, align or digest what SQL cannot express and are tested against brute force.
-ORACLES = {"op1_extendible_sharding": sharding.ORACLE_SQL}
+ORACLES = {"op1_extendible_sharding": sharding.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
