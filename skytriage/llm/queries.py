@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytriage.llm import decontaminate, divergence, embeddings, html_text, language, language_model, piecewise, sharding, simhash, token_counts, toxicity, transducer
+from skytriage.llm import ball_tree, decontaminate, divergence, embeddings, html_text, language, language_model, piecewise, sharding, simhash, token_counts, toxicity, transducer
 from skytriage.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,7 +76,12 @@ def op12_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item."""
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_toxicity, op3_pseudo_likelihood, op4_html_text, op5_token_counts, op6_bpe_codec,
-                                   op7_embedding_near_dedup, op8_simhash_near_dedup, op9_language_id, op10_decontamination, op11_source_divergence, op12_piecewise_fingerprints)}
+                                   op7_embedding_near_dedup, op8_simhash_near_dedup, op9_language_id, op10_decontamination, op11_source_divergence, op12_piecewise_fingerprints, op13_lexical_search)}
 #: The others learn, align or digest what SQL cannot express and are tested against brute force.
-ORACLES = {"op1_extendible_sharding": sharding.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
+ORACLES = {"op1_extendible_sharding": sharding.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op13_lexical_search": ball_tree.ORACLE_SQL}
