@@ -179,7 +179,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         doc_id.alias("doc_id"), text.alias("text"))
     # One row per block of the order: their number is that of shuffle partitions, whatever the table.
     order = ["absent", "down", "tie"]
-    first = keyed.select(*order).repartitionByRange(*order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("x")).collect()
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = keyed.select(*order).repartitionByRange(blocks, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("x")).collect()
     bounds = sorted(tuple(r["x"]) for r in first)
     if not bounds:
         return spark.createDataFrame([], _OUT)
