@@ -1,8 +1,8 @@
-"""Interval lookups and band counts without pairing every row with every interval.
+"""Band counts without pairing every row with every band.
 
-Both rest on cutting a range of whole numbers into a few aligned blocks (powers of a
-base). A block is an equi-join key, and whatever is asked of it (the first interval
-covering it, its first ten rows) is aggregated per block before the join.
+A range of whole numbers is cut into a few aligned blocks (powers of a base). A block is an
+equi-join key, and whatever is asked of it (its first ten rows) is aggregated per block
+before the join.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ def block_key(block: Column, level: int) -> Column:
     return block * 64 + level
 
 
-#: Level number, outside the range in use, under which the edge minutes are filed.
-_EDGE = 63
-
-
 def aligned_blocks(low: Column, high: Column, bits: int, levels: int) -> Column:
     """Keys of the aligned blocks that exactly cover the whole numbers [low, high).
 
@@ -55,44 +51,6 @@ def aligned_blocks(low: Column, high: Column, bits: int, levels: int) -> Column:
     return F.concat(*parts)
 
 
-#: Minutes, then four of each: the thirteenth level spans decades.
-_TIME_BITS, _TIME_LEVELS = 2, 13
-
-
-def first_covering(points: DataFrame, intervals: DataFrame, key: str, at: str, order: str,
-                   payload: list[str]) -> DataFrame:
-    """For every distinct (key, at): the first interval, by ``order``, that covers it.
-
-    ``intervals`` has ``key, starts_at, ends_at`` (both ends included). Whole minutes are
-    reduced to their first interval before the join; only the two edge minutes of an
-    interval keep their exact bounds. Points nobody covers are absent from the result.
-    """
-    row = F.struct(F.col(order).alias("_order"), *payload).alias("_row")
-    start, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("starts_at", "ends_at"))
-    minute = 60_000_000
-    low = F.ceil(start / float(minute)).cast("long")
-    high = F.floor(end / float(minute)).cast("long")
-    first_min, last_min = F.floor(start / float(minute)).cast("long"), F.floor(end / float(minute)).cast("long")
-    spans = intervals.where(F.col("ends_at") >= F.col("starts_at")).select(
-        key, row, start.alias("_s"), end.alias("_e"), low.alias("_lo"), F.greatest(low, high).alias("_hi"),
-        F.array_distinct(F.array(first_min, last_min)).alias("_edge"))
-    blocks = aligned_blocks(F.col("_lo"), F.col("_hi"), _TIME_BITS, _TIME_LEVELS)
-    full = spans.select(key, F.explode_outer(blocks).alias("_b"), "_row").where("_b IS NOT NULL").groupBy(key, "_b").agg(
-        F.min("_row").alias("_row")).select(key, "_b", "_row", F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e"))
-    edges = spans.select(key, F.explode_outer("_edge").alias("_m"), "_row", "_s", "_e").select(
-        key, block_key(F.col("_m"), _EDGE).alias("_b"), "_row", "_s", "_e")
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    of_minute = F.floor(micros / float(minute)).cast("long")
-    asked = points.select(key, at).distinct().select(key, at, micros.alias("_t"), of_minute.alias("_m"))
-    minute_no = F.col("_m")
-    probes = F.array(block_key(minute_no, _EDGE), *[
-        block_key(F.shiftright(minute_no, _TIME_BITS * j), j) for j in range(_TIME_LEVELS)])
-    asked = asked.select(key, at, "_t", F.explode_outer(probes).alias("_b"))
-    hit = asked.join(full.unionByName(edges), [key, "_b"]).where(
-        F.col("_s").isNull() | F.col("_t").between(F.col("_s"), F.col("_e")))
-    return hit.groupBy(key, at).agg(F.min("_row").alias("_row")).select(key, at, *[F.col(f"_row.{p}").alias(p) for p in payload])
-
-
 _BAND_BITS, _BAND_LEVELS = 2, 20
 
 

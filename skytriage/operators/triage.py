@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skytriage import constants as K
 from skytriage.functions.numeric import fixed, round_py
-from skytriage.operators.intervals import band_matches, first_covering
+from skytriage.operators.intervals import band_matches
+from skytriage.operators.sweep import first_covering
 
 # Decimals of each reported measure. Rules read the rounded numbers.
 _DECIMALS = {
@@ -51,9 +52,8 @@ def match_authorization(tracks: DataFrame, flights: DataFrame, sites: DataFrame)
     Of several flights covering the moment, the first in registry order (``ordinal``)
     counts. A site outside the registry vouches for nothing.
     """
-    hits = first_covering(tracks, flights, "site_id", "observed_at", "ordinal", ["flight_id", "operator"])
     known = sites.select("site_id", F.lit(True).alias("site_known"))
-    out = tracks.join(hits, ["site_id", "observed_at"], "left").join(known, "site_id", "left")
+    out = first_covering(tracks, flights, "site_id", "observed_at", "ordinal", ["flight_id", "operator"]).join(known, "site_id", "left")
     seen = F.coalesce(F.col("site_known"), F.lit(False))
     ok = seen & F.col("flight_id").isNotNull()
     return out.select(
@@ -64,9 +64,8 @@ def match_authorization(tracks: DataFrame, flights: DataFrame, sites: DataFrame)
 
 def zone_status(tracks: DataFrame, sites: DataFrame, restrictions: DataFrame) -> DataFrame:
     """Tracks with ``site_known, zone_class, restriction_active, restriction_reason``."""
-    hits = first_covering(tracks, restrictions, "site_id", "observed_at", "ordinal", ["reason"])
     known = sites.select("site_id", "zone_class", F.lit(True).alias("site_known"))
-    out = tracks.join(hits, ["site_id", "observed_at"], "left").join(known, "site_id", "left")
+    out = first_covering(tracks, restrictions, "site_id", "observed_at", "ordinal", ["reason"]).join(known, "site_id", "left")
     seen = F.coalesce(F.col("site_known"), F.lit(False))
     active = seen & F.col("reason").isNotNull()
     return out.select(*tracks.columns, seen.alias("site_known"), "zone_class",
