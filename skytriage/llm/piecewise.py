@@ -12,7 +12,8 @@ that both have; texts without a common size are unlike.
 
 The edited text of a document needs the document that follows it in the order of ids. Rows
 are dealt to blocks of that order by bounds known beforehand, and the first document of each
-block also goes to the block before it, so each task reads its block once, in order.
+block also goes to the block before it, so each task reads its block once, in order. Texts
+are compressed on the way.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,22 +126,24 @@ def likeness(a: str, b: str) -> float:
     return 2 * _common(s, t) / (len(s) + len(t))
 
 
-_PLACED = "block int, guest int, absent boolean, down bigint, tie bigint, doc_id bigint, n_chars bigint, fingerprint string, text string"
+_PLACED = "block int, guest int, absent boolean, down bigint, tie bigint, doc_id bigint, n_chars bigint, fingerprint string, packed binary"
 _OUT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _place(bounds: list[tuple[bool, int, int]]):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             rows = []
             for absent, down, tie, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 key = (absent, down, tie)
                 block = bisect_right(bounds, key) - 1
-                row = (absent, down, tie, doc_id, len(text), fingerprint(text.encode()), text)
+                data = text.encode()
+                row = (absent, down, tie, doc_id, len(text), fingerprint(data), pack(data))
                 rows.append((block, 0, *row))
                 if bounds[block] == key:
                     rows.append(((block - 1) % len(bounds), 1, *row))
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = [c.split(" ")[0] for c in _PLACED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
@@ -149,11 +153,13 @@ def _place(bounds: list[tuple[bool, int, int]]):
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document with the one after it; the rows of a block come in order, the guest at the end."""
     last = None
+    unpack = zstandard.ZstdDecompressor().decompress
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     names = [c.split(" ")[0] for c in _OUT.split(", ")]
     for batch in batches:
         out = []
-        for guest, doc_id, n, mark, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+        for guest, doc_id, n, mark, packed in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            text = unpack(packed).decode()
             if last is not None:
                 its_id, its_n, its_mark, its_text = last
                 edited = (its_text[: its_n - its_n // 2] + text[: its_n // 2]).encode()
@@ -185,4 +191,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not bounds:
         return spark.createDataFrame([], _OUT)
     placed = keyed.mapInArrow(_place(bounds), _PLACED).repartitionById(len(bounds), F.col("block")).sortWithinPartitions("guest", *order)
-    return placed.select("guest", "doc_id", "n_chars", "fingerprint", "text").mapInArrow(_follow, _OUT)
+    return placed.select("guest", "doc_id", "n_chars", "fingerprint", "packed").mapInArrow(_follow, _OUT)
