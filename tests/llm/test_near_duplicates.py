@@ -110,3 +110,23 @@ def test_tile_pairs_stop_early_without_losing_links():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = {(int(a), int(b)) for i, j in embeddings.linked(x, x, 0.9) for a, b in zip(i, j)}
     assert got == set(zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.9))))
+
+
+def test_links_at_the_threshold_itself(spark):
+    """Whole-number vectors of squared length 100, many of them with a product of exactly 90."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        at = rng.permutation(64)[:4]
+        a, b = np.zeros(64), np.zeros(64)
+        a[at[0]] = 10
+        b[at] = [9, *rng.permutation([1, 3, 3])]
+        sign = rng.choice([-1, 1], 64)
+        # Lengths do not matter to a cosine, powers of two do not even to its digits.
+        rows += [a * sign * 2.0 ** (k % 5), b * sign]
+    whole = np.array([r / (np.sqrt(r @ r) / 10) for r in rows]).round()
+    near = whole @ whole.T >= 90
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 80 and (whole @ whole.T == 90).sum() >= 80
+    got = embeddings.near_duplicates(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "vec_id bigint, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
