@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skytriage.llm.common import written
 from skytriage.session import durable
 
 SEED_SIZES = (3, 4, 5, 6)
@@ -256,6 +257,14 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` whose id has no leak; all columns as they are, rows without an id kept."""
-    bad = leaks(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` whose text holds no item; all columns as they are.
+
+    What a row holds depends on its text alone, so texts are told apart by their digest and
+    ids do not matter: rows without an id or with one that others share are judged by their own
+    text, repeated rows stay or go together. Null and empty texts stay, as does everything
+    where ``items`` is empty. The digests of leaking texts are written first, so they are
+    broadcast only while Spark finds the table small enough.
+    """
+    digest = F.unhex(F.md5("text"))
+    bad = written(leaks(docs.select(digest.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_leak")).distinct())
+    return docs.join(bad, digest == F.col("_leak"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
