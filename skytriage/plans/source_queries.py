@@ -151,6 +151,25 @@ def coco_round_trip(spark, sf):
     return images.select("image_id", "file_name").join(boxes.select("image_id", "annotation_id", "category_id", "x1", "y2"), "image_id", "left")
 
 
+@query("a10_json_documents", f"""{_FRAMES_GT}, n AS (SELECT source_video, frame_index, row_number() OVER (PARTITION BY source_video ORDER BY frame_index) - 1 AS position FROM fx_frames)
+  SELECT source_video * 1000 + frame_index AS image_id, 'frame }}{{ "' || frame_index || '"' AS file_name, position, count(g.x1) AS n_boxes, coalesce(sum(g.x2), 0) AS sum_x2
+  FROM n LEFT JOIN fx_ground_truth g USING (source_video, frame_index) GROUP BY ALL""")
+def json_documents(spark, sf):
+    """One document per video, read back in pieces."""
+    path = scratch(spark)
+    image = F.col("source_video") * 1000 + F.col("frame_index")
+    frames = view(spark, sf, "fx_frames").groupBy("source_video").agg(F.sort_array(F.collect_list(F.struct(
+        image.alias("id"), F.format_string('frame }{ "%s"', F.col("frame_index").cast("string")).alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height")))).alias("images"))
+    boxes = view(spark, sf, "fx_ground_truth").groupBy("source_video").agg(F.collect_list(F.struct(
+        F.col("gt_index").alias("id"), image.alias("image_id"), F.lit(1).alias("category_id"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"))).alias("annotations"))
+    documents = frames.join(boxes, "source_video", "left").select(F.to_json(F.struct(
+        "images", F.coalesce("annotations", F.array()).alias("annotations"), F.array().cast("array<string>").alias("categories"))).alias("value"))
+    _write_documents(documents, f"{path}.json")
+    images, found, _ = coco.read_coco(spark, f"{path}.json")
+    per = found.groupBy("image_id").agg(F.count("*").alias("n_boxes"), F.sum("x2").alias("sum_x2"))
+    return images.join(per, "image_id", "left").select("image_id", "file_name", "position", "n_boxes", "sum_x2").fillna(0)
+
+
 @query("a13_prepare_splits", f"""{_FRAMES_GT}, o AS (SELECT s_suppkey AS source_video, count(*) OVER () AS n,
       row_number() OVER (ORDER BY substr(sha256('7:' || CAST(s_suppkey AS VARCHAR)), 1, 16)) AS pos FROM supplier),
     s AS (SELECT source_video, CASE WHEN pos <= greatest(1, round_even(n * 0.7, 0)) THEN 'train' WHEN pos <= greatest(1, round_even(n * 0.7, 0)) + greatest(1, round_even(n * 0.15, 0)) THEN 'valid' ELSE 'test' END AS folder FROM o),
@@ -230,15 +249,56 @@ def stored(spark, sf):
     return runs.load_tracks(spark, path)[0].select("track_id", "source_clip", "duration_seconds")
 
 
-@query("a17_site_dims", """SELECT CAST(o_custkey % 50 AS VARCHAR) AS site_id, CAST(o_orderkey AS VARCHAR) AS flight_id,
-  CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS INT) AS ordinal, o_orderdate AS starts_at, o_orderdate + INTERVAL '36' HOUR AS ends_at FROM orders""")
-def registry(spark, sf):
+# Lines of a store in the order of their ids, some of them blank and some broken.
+_LINES = """SELECT CAST(floor(event_id / 5000) AS BIGINT) AS run, event_id, CASE WHEN event_id % 70 = 11 THEN '' WHEN event_id % 50 = 3 THEN '{"track_id": ' || event_id
+  WHEN event_id % 90 = 4 THEN '{"label": "bird"}' ELSE '{"track_id": "' || event_id || '", "label": "bird"}' END AS line FROM {events}"""
+
+
+@query("a16_bad_lines", f"""WITH l AS ({_LINES.replace('{events}', 'events')}), n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) AS line_number FROM l)
+  SELECT run, line_number, line FROM n WHERE event_id % 70 <> 11 AND (event_id % 50 = 3 OR event_id % 90 = 4)""")
+def bad_lines(spark, sf):
     path = scratch(spark)
+    table(spark, sf, "events").createOrReplaceTempView("_a16_events")
+    lines = spark.sql(_LINES.replace("{events}", "_a16_events"))
+    lines.repartition("run").sortWithinPartitions("run", "event_id").select("run", F.col("line").alias("value")).write.partitionBy("run").text(path)
+    bad = runs.load_tracks(spark, path)[1]
+    return bad.select(F.regexp_extract("path", r"run=(\d+)/", 1).cast("bigint").alias("run"), "line_number", "line")
+
+
+#: Documents of at most 200 flights, whatever the size of the table.
+_REGISTRY = """SELECT CAST(floor(o_orderkey / 200) AS BIGINT) AS doc, o_orderkey, o_orderkey % 97 = 5 AS misspelt, o_orderdate AS starts_at, o_orderdate + INTERVAL '36' HOUR AS ends_at FROM {orders}"""
+
+
+def _write_documents(docs, path):
+    """One file per row of ``docs`` (value)."""
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def _registries(spark, sf, path, faults):
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    f = view(spark, sf, "fx_authorized_flights").select(F.col("site_id").cast("string").alias("site_id"), F.struct(
-        "flight_id", F.lit("op").alias("operator"), iso("starts_at").alias("starts_at"), iso("ends_at").alias("ends_at")).alias("f"))
-    # A registry is one document, so it is put together in one row here.
-    sites = f.groupBy("site_id").agg(F.sort_array(F.collect_list("f")).alias("authorized_flights"))
-    sites.agg(F.to_json(F.struct(F.collect_list(F.struct("site_id", F.lit("open").alias("zone_class"), "authorized_flights")).alias("sites"))).alias("value")).write.text(path)
+    f = spark.sql(_REGISTRY, orders=table(spark, sf, "orders")).select("doc", F.struct(
+        F.col("o_orderkey").alias("flight_id"), F.lit("op").alias("operator"), iso("starts_at").alias("starts_at"), iso("ends_at").alias("ends_at"),
+        F.when(F.col("misspelt") & F.lit(faults), "?").alias("end_at")).alias("f"))
+    site = f.groupBy("doc").agg(F.sort_array(F.collect_list("f")).alias("authorized_flights")).select(F.struct(
+        F.col("doc").cast("string").alias("site_id"), F.lit("open").alias("zone_class"), "authorized_flights",
+        F.when((F.col("doc") % 5 == 2) & F.lit(faults), F.array()).alias("restrictoins")).alias("site"))
+    _write_documents(site.select(F.to_json(F.struct(F.array("site").alias("sites"))).alias("value")), path)
+
+
+@query("a17_site_dims", f"""SELECT CAST(doc AS VARCHAR) AS site_id, CAST(o_orderkey AS VARCHAR) AS flight_id,
+  CAST(row_number() OVER (PARTITION BY doc ORDER BY o_orderkey) - 1 AS INT) AS ordinal, starts_at, ends_at FROM ({_REGISTRY.format(orders='orders')})""")
+def registry(spark, sf):
+    path = scratch(spark)
+    _registries(spark, sf, path, False)
     _, flights, _ = runs.site_dims(spark, path)
     return flights.select("site_id", "flight_id", "ordinal", "starts_at", "ends_at")
+
+
+@query("a17_registry_faults", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY o_orderkey) - 1 AS i FROM ({_REGISTRY.format(orders='orders')})),
+    f AS (SELECT 'sites[0].authorized_flights[' || i || '].end_at' AS field FROM r WHERE misspelt UNION ALL SELECT 'sites[0].restrictoins' FROM (SELECT DISTINCT doc FROM r) WHERE doc % 5 = 2)
+  SELECT field, count(*) AS n_documents FROM f GROUP BY 1""")
+def registry_fields(spark, sf):
+    path = scratch(spark)
+    _registries(spark, sf, path, True)
+    documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return runs.registry_faults(documents).groupBy("field").agg(F.count("*").alias("n_documents"))

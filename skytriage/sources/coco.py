@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skytriage.constants import COCO_CATEGORY_IDS
 from skytriage.functions.geometry import Box, corners, xywh_to_xyxy, xyxy_to_xywh
 from skytriage.operators.scan import ranked
+from skytriage.sources.json_document import document_records
 
 _IMAGE = "id:bigint,file_name:string,width:int,height:int,source_video:string,frame_index:bigint"
 _ANNOTATION = "id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int,track_id:bigint"
-_CATEGORY = "id:int,name:string"
-_DOCUMENT = f"images array<struct<{_IMAGE}>>, annotations array<struct<{_ANNOTATION}>>, categories array<struct<{_CATEGORY}>>"
 
 
 def to_coco(frames: DataFrame, gt: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -48,17 +47,18 @@ def write_coco(frames: DataFrame, gt: DataFrame, videos: DataFrame, path: str) -
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, boxes, one row: do all images know their video).
 
-    Reads the folders of :func:`write_coco` in parallel, or single JSON documents (one
-    task per document, as the format allows no splitting). Images without annotations
-    stay.
+    Reads the folders of :func:`write_coco`, or JSON documents of any size, each by many
+    tasks. Images without annotations stay. A document without one of the three arrays, one
+    that is cut off, or a record of another shape stops the job.
     """
     if path.rstrip("/").endswith(".json"):
-        doc = spark.read.json(path, multiLine=True, schema=_DOCUMENT)
-        needed = F.when(F.col("images").isNull() | F.col("annotations").isNull() | F.col("categories").isNull(),
-                        F.raise_error(F.lit("needs images, annotations and categories")).cast("int")).otherwise(0)
-        checked = doc.where(needed == 0)
-        images = checked.select(F.posexplode("images").alias("position", "i")).select("position", "i.*")
-        boxes = checked.select(F.posexplode("annotations").alias("_n", "a")).select("a.*")
+        records = document_records(spark, path, ["images", "annotations", "categories"])
+
+        def parsed(section: str, fields: str) -> DataFrame:
+            return records.where(F.col("section") == section).select("file", "position", F.from_json("record", fields.replace(":", " "), {"mode": "FAILFAST"}).alias("r"))
+
+        images = parsed("images", _IMAGE).select("position", "r.*")
+        boxes = parsed("annotations", _ANNOTATION).select("r.*")
     else:
         images = spark.read.json(f"{path}/images", schema=_IMAGE.replace(":", " ")).withColumn("position", F.col("id"))
         boxes = spark.read.json(f"{path}/annotations", schema=_ANNOTATION.replace(":", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skytriage.constants import FEATURES, MIN_TRACK_SECONDS
 
@@ -79,7 +79,10 @@ STORE_BUCKETS = 64
 
 
 def _store_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines, with their file, of all files below ``paths``; paths that match nothing hold none."""
+    """All lines, blank ones too, of the files below ``paths``, with where they were read; paths that match nothing hold none.
+
+    ``at`` is where the split of a file begins and ``n`` counts up by one within it.
+    """
     found = None
     for p in paths:
         try:
@@ -88,20 +91,34 @@ def _store_lines(spark: SparkSession, *paths: str) -> DataFrame:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        lines = lines.select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).where("line <> ''")
+        lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"),
+                             F.trim("value").alias("line"))
         found = lines if found is None else found.unionByName(lines)
-    return spark.createDataFrame([], "path string, line string") if found is None else found
+    return spark.createDataFrame([], "path string, at bigint, n bigint, line string") if found is None else found
 
 
 def _parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    read = lines.withColumn("t", F.from_json("line", TRACK_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    read = lines.where("line <> ''").withColumn("t", F.from_json("line", TRACK_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     ok = F.col("t._corrupt").isNull() & F.col("t.track_id").isNotNull()
-    return read.where(ok).select("t.*").drop("_corrupt"), read.where(~ok | ok.isNull()).select("path", "line")
+    return read.where(ok).select("t.*").drop("_corrupt"), read.where(~ok | ok.isNull()).select("path", "at", "n", "line")
+
+
+def _line_numbers(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """``some`` rows of ``lines`` with ``line_number``, from 1 in their file.
+
+    A line's number is its place in its split, plus the lines of the file's earlier splits:
+    one row per split is summed up, the lines themselves are not moved.
+    """
+    splits = lines.groupBy("path", "at").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return some.join(splits.withColumn("before", before), ["path", "at"]).select("path", (F.col("before") + F.col("n") - F.col("first") + 1).alias("line_number"), "line")
 
 
 def load_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(tracks, bad rows with their file) from JSON lines; blank lines are skipped, an absent store is empty."""
-    return _parsed(_store_lines(spark, path))
+    """(tracks, bad rows with their file and line number) from JSON lines; blank lines are skipped but counted, an absent store is empty."""
+    lines = _store_lines(spark, path)
+    tracks, bad = _parsed(lines)
+    return tracks, _line_numbers(lines, bad)
 
 
 def unseen_tracks(new: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -138,10 +155,45 @@ _SITE = ("sites array<struct<site_id:string,name:string,zone_class:string,author
          "starts_at:string,ends_at:string,notes:string>>,restrictions:array<struct<restriction_id:string,reason:string,starts_at:string,ends_at:string>>>>")
 
 
+# Fields that a registry may have; any other is an error. Fixed values.
+_FIELDS = {
+    "": ["sites"],
+    "sites": ["site_id", "name", "zone_class", "authorized_flights", "restrictions"],
+    "authorized_flights": ["flight_id", "operator", "starts_at", "ends_at", "notes"],
+    "restrictions": ["restriction_id", "reason", "starts_at", "ends_at"],
+}
+
+
+def _unknown(value: Column, kind: str, where: Column) -> Column:
+    """Paths of the fields of a JSON object that ``kind`` does not have, or the path itself if it is no object."""
+    keys = F.json_object_keys(value)
+    extra = F.transform(F.array_except(keys, F.array(*[F.lit(k) for k in _FIELDS[kind]])), lambda k: F.concat(where, F.when(where == "", "").otherwise("."), k))
+    return F.when(keys.isNull(), F.array(where)).otherwise(extra)
+
+
+def registry_faults(documents: DataFrame) -> DataFrame:
+    """``file, field``: fields that a registry must not have, with their place in the document, at every level.
+
+    ``documents`` has ``file, value``, one JSON document each. What is not an object where one
+    is expected is named by its place, a document that is not JSON by the empty place.
+    """
+    entry = lambda name, i: F.concat(F.lit(name + "["), i.cast("string"), F.lit("]"))
+    top = documents.select("file", _unknown(F.col("value"), "", F.lit("")).alias("unknown"), F.from_json("value", "sites array<string>")["sites"].alias("sites"))
+    sites = top.select("file", F.posexplode("sites").alias("i", "site")).withColumn("place", entry("sites", F.col("i")))
+    inner = F.from_json("site", "authorized_flights array<string>, restrictions array<string>")
+    parts = sites.select("file", "place", _unknown(F.col("site"), "sites", F.col("place")).alias("unknown"), inner.alias("d"))
+    out = top.select("file", "unknown").unionByName(parts.select("file", "unknown"))
+    for kind in ("authorized_flights", "restrictions"):
+        listed = parts.select("file", "place", F.posexplode(f"d.{kind}").alias("i", "entry"))
+        out = out.unionByName(listed.select("file", _unknown(F.col("entry"), kind, F.concat("place", F.lit("."), entry(kind, F.col("i")))).alias("unknown")))
+    return out.select("file", F.explode("unknown").alias("field"))
+
+
 def site_dims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sites, flights, restrictions) from a registry document, JSON or YAML.
+    """(sites, flights, restrictions) from registry documents, JSON or YAML.
 
-    The ordinal keeps the order in which a site lists its intervals. A flight has to end
+    A field that a registry does not have stops the job and is named with its place: a
+    misspelt list of restrictions would otherwise be no restriction. The ordinal keeps the order in which a site lists its intervals. A flight has to end
     after it starts; restrictions are taken as they are; a site without a zone class is
     unrestricted. YAML has no reader in Spark, so
     that one small configuration file is turned into JSON first.
@@ -151,10 +203,13 @@ def site_dims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 
         head = spark.read.format("binaryFile").load(path).select("content").first()
         text = json.dumps(yaml.safe_load(head["content"].decode("utf-8")), default=lambda v: v.isoformat())
-        doc = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", _SITE).alias("d")).select("d.*")
+        documents = spark.createDataFrame([(path, text)], "file string, value string")
     else:
-        doc = spark.read.json(path, multiLine=True, schema=_SITE)
-    site = doc.select(F.explode("sites").alias("s")).select("s.*")
+        documents = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    faults = registry_faults(documents).groupBy("file").agg(F.sort_array(F.collect_list("field")).alias("fields"))
+    stop = F.raise_error(F.concat(F.lit("fields that a site registry does not have, in "), F.col("file"), F.lit(": "), F.array_join("fields", ", "))).cast("boolean")
+    known = documents.join(faults, "file", "left").where(F.when(F.col("fields").isNull(), True).otherwise(stop))
+    site = known.select(F.from_json("value", _SITE)["sites"].alias("sites")).select(F.explode("sites").alias("s")).select("s.*")
     sites = site.select("site_id", "name", F.coalesce("zone_class", F.lit("unrestricted")).alias("zone_class"))
     ts = lambda c: F.to_timestamp(F.col(c)).alias(c.split(".")[-1])
     flights = site.select("site_id", F.posexplode("authorized_flights").alias("ordinal", "f")).select(

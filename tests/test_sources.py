@@ -131,6 +131,42 @@ def test_coco_document(spark, tmp_path):
         coco.read_coco(spark, f"{tmp_path}/y.json")[0].collect()
 
 
+ODD_DOCUMENT = {
+    "info": {"by": {"name": "a } ] { [ \" quote \\"}, "years": [[1, 2], [{"x": {}}]]}, "licenses": [], "images": [
+        {"id": 1, "file_name": "br}ace{.jpg", "width": 1, "height": 2, "source_video": "v\\\\", "extra": {"deep": [{"a": 1}, {"b": "}"}]}},
+        {"id": 2, "file_name": "quo\"te\\}.jpg", "width": 1, "height": 2, "source_video": "été日本}{"}, {}],
+    "empty": [], "annotations": [{"id": 5, "image_id": 1, "category_id": 2, "bbox": [1, 2, 3, 4], "segmentation": [[1, 2], [3]]}, {"id": 6, "image_id": 2, "bbox": [0, 0, 1, 1]}],
+    "categories": [], "images_of": [{"id": 99}]}
+
+
+@pytest.mark.parametrize("indent, ascii_only, tail, split", [(None, True, "", "1g"), (1, False, "\n", "64b"), (None, False, " \n\n", "16b"), (2, True, "", "7b")])
+def test_documents_are_read_in_pieces(spark, tmp_path, indent, ascii_only, tail, split):
+    from skytriage.sources.json_document import document_records
+
+    for k, doc in enumerate((ODD_DOCUMENT, {"categories": [{"id": 1}], "annotations": [], "images": [{"id": 8, "file_name": "z"}] * 30})):
+        put(f"{tmp_path}/{k}.json", json.dumps(doc, indent=indent, ensure_ascii=ascii_only) + tail)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = document_records(spark, f"{tmp_path}/*.json", ["images", "annotations", "categories"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {(r.file[-6:], r.section, r.position): json.loads(r.record) for r in rows}
+    want = {(f"{k}.json", s, i): x for k, doc in enumerate((ODD_DOCUMENT, {"categories": [{"id": 1}], "images": [{"id": 8, "file_name": "z"}] * 30}))
+            for s in ("images", "annotations", "categories") for i, x in enumerate(doc.get(s, []))}
+    assert {(k[0][-6:], *k[1:]): v for k, v in got.items()} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("text", ['{"images": [{"id": 1}], "annotations": [], "categories": []', '{"images": [{"id": 1}], "annotations": [], "categories": [], "x": "', '{"images": [{"id": 1}', '{"images": [], "annotations": [], "categories": []}}'])
+def test_broken_documents_stop_the_job(spark, tmp_path, text):
+    put(f"{tmp_path}/x.json", json.dumps({"images": [{"id": 1}], "annotations": [], "categories": []}))
+    assert coco.read_coco(spark, f"{tmp_path}/x.json")[0].count() == 1
+    put(f"{tmp_path}/y.json", text)
+    with pytest.raises(Exception, match="not one whole JSON document|needs images"):
+        coco.read_coco(spark, f"{tmp_path}/y.json")[0].collect()
+
+
 def test_track_store_and_registry(spark, tmp_path):
     feats = "named_struct(" + ",".join(f"'{f}', 1.0D" for f in runs.FEATURES) + ")"
     new = spark.range(5).selectExpr("cast(id % 3 as string) track_id", "'c' source_clip", "'bird' label", "'clip_provenance' label_basis", "'me' asserted_by",
@@ -175,3 +211,40 @@ def test_media_gate(spark):
     rows = [(0, 10, 30.0, 5.0), (5000, 10, 30.0, 5.0), (10, 10, 0.0, 5.0), (10, 10, 121.0, 5.0), (10, 10, 30.0, 301.0), (4096, 4096, 120.0, 300.0), (640, 480, 30.0, 10.0)]
     ok, bad = media_limits_gate(spark.createDataFrame(rows, "width int, height int, fps double, duration_seconds double"))
     assert ok.count() == 1 and {r.violation for r in bad.collect()} == {"invalid dimensions", "resolution", "invalid frame rate", "frame rate", "duration", "total pixels"}
+
+
+def test_bad_lines_have_their_number_in_a_file_of_several_splits(spark, tmp_path):
+    lines = [f'{{"track_id": "{k}"}}' for k in range(400)]
+    want = {}
+    for k in (0, 7, 133, 134, 398):
+        lines[k] = f'broken {k}'
+        want[k + 1] = lines[k]
+    lines[5] = lines[6] = lines[250] = "  "
+    put(f"{tmp_path}/store/a.json", "\n".join(lines))
+    put(f"{tmp_path}/store/b.json", "\n\nbroken\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        tracks, bad = runs.load_tracks(spark, f"{tmp_path}/store")
+        assert tracks.count() == 400 - 5 - 3
+        rows = bad.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r.line_number: r.line for r in rows if r.path.endswith("a.json")} == want
+    assert [(r.line_number, r.line) for r in rows if r.path.endswith("b.json")] == [(3, "broken")]
+
+
+def test_registry_refuses_fields_it_does_not_have(spark, tmp_path):
+    flight = {"flight_id": "f", "operator": "o", "starts_at": "2024-01-01T00:00:00Z", "ends_at": "2024-01-02T00:00:00Z", "notes": ""}
+    put(f"{tmp_path}/good.json", json.dumps({"sites": [{"site_id": "a", "name": "A", "zone_class": "restricted", "authorized_flights": [flight], "restrictions": []}]}))
+    assert runs.site_dims(spark, f"{tmp_path}/good.json")[1].count() == 1
+    bad = {"sites": [{"site_id": "a", "restrictoins": []}, {"site_id": "b", "authorized_flights": [flight, flight | {"pilot": 1}], "restrictions": [{"reason": "r", "until": "x"}, 7]}], "version": 2}
+    put(f"{tmp_path}/bad.json", json.dumps(bad))
+    put(f"{tmp_path}/text.json", "not json")
+    documents = spark.read.text(f"{tmp_path}/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    assert sorted((r.file.rsplit("/", 1)[1], r.field) for r in runs.registry_faults(documents).collect()) == sorted(
+        [("bad.json", f) for f in ("version", "sites[0].restrictoins", "sites[1].authorized_flights[1].pilot", "sites[1].restrictions[0].until", "sites[1].restrictions[1]")] + [("text.json", "")])
+    for part in range(3):
+        with pytest.raises(Exception, match="does not have.*bad.json.*restrictoins"):
+            runs.site_dims(spark, f"{tmp_path}/bad.json")[part].collect()
