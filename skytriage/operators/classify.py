@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -11,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from skytriage.constants import FEATURES, MIN_TRACKS_TO_TRAIN
+from skytriage.functions.permute import shuffled
 from skytriage.operators.scan import ranked
 from skytriage.session import durable
 
@@ -75,21 +74,16 @@ def training_report(model: PipelineModel, tracks: DataFrame) -> tuple[DataFrame,
 def permutation_importance(model: PipelineModel, tracks: DataFrame, repeats: int = 5, seed: int = 1337) -> DataFrame:
     """Mean loss of accuracy per feature when its values are dealt to other tracks.
 
-    A dealing is ``i -> (a*i + b) mod n`` with a prime that does not divide n: a
-    permutation every task can compute, so values are fetched by one join on the number
-    of the track instead of a global shuffle of the column.
+    A dealing is a keyed permutation of the tracks' numbers that every task computes for
+    itself, so values are fetched by one join on the number of the track instead of a global
+    shuffle of the column, and no order of the tracks shows through.
     """
     numbered = durable(ranked(tracks.select("track_id", "label", *FEATURES), [], [F.col("track_id")], "i"))
     n = numbered.count()
-    primes = [p for p in (10007, 20011, 30011, 40009, 50021, 60013, 70001, 80021, 90001, 100003, 110017, 120011) if math.gcd(p, n) == 1]
-    deals = []
-    for f in range(len(FEATURES)):
-        for r in range(repeats):
-            k = seed + f * repeats + r
-            deals.append((f, r, primes[k % len(primes)], (k * 7919) % max(n, 1)))
-    plan = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, r, a, b in deals])
-    asked = numbered.select("i", "label", F.array(*FEATURES).alias("v"), F.explode_outer(plan).alias("d")).select(
-        "label", "v", F.col("d.f").alias("f"), F.col("d.r").alias("r"), ((F.col("i") * F.col("d.a") + F.col("d.b")) % n).alias("j"))
+    plan = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in range(len(FEATURES)) for r in range(repeats)])
+    key = F.struct(F.lit(seed), F.col("f"), F.col("r"))
+    asked = numbered.select("i", "label", F.array(*FEATURES).alias("v"), F.explode_outer(plan).alias("d")).select("i", "label", "v", "d.f", "d.r").select(
+        "label", "v", "f", "r", shuffled(F.col("i"), n, key).alias("j"))
     other = numbered.select(F.col("i").alias("j"), F.array(*FEATURES).alias("o"))
     dealt = asked.join(other, "j").select("label", "f", "r", F.transform("v", lambda x, k: F.when(k == F.col("f"), F.get("o", k)).otherwise(x)).alias("v"))
     wide = dealt.select("label", "f", "r", *[F.col("v")[k].alias(name) for k, name in enumerate(FEATURES)])

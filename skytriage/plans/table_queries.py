@@ -193,6 +193,20 @@ def once(spark, sf):
     return flows.run_to_table(flows.once_per_track(s, "100000 hours"), scratch(spark)).groupBy("track_id").agg(F.count("*").alias("n"))
 
 
+@query("k5_j12_decide_once", """WITH p AS (SELECT *, CAST(extract('hour' FROM ts) AS INT) // 8 AS part FROM events)
+  SELECT user_id AS track_id, arg_min(event_id, (part, ts, event_id)) AS event_id, count(*) AS n_repeats FROM p GROUP BY 1""")
+def decided_once(spark, sf):
+    """Decisions arrive in three parts, each hours and days out of order with the others; the first to arrive stays."""
+    path, shape = scratch(spark), "track_id bigint, created_at timestamp, event_id bigint"
+    events = table(spark, sf, "events").select(F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("created_at"), "event_id")
+    for part in range(3):
+        events.where(F.floor(F.hour("created_at") / 8) == part).write.parquet(f"{path}/in/part={part}")
+        arriving = spark.readStream.schema(shape).parquet(f"{path}/in/part=*")
+        flows.decide_once(arriving.select("track_id", "created_at", "event_id"), f"{path}/store", f"{path}/log").awaitTermination()
+    kept = flows.first_decisions(spark, shape, f"{path}/store").select("track_id", "event_id")
+    return kept.join(events.groupBy("track_id").agg(F.count("*").alias("n_repeats")), "track_id")
+
+
 @query("k6_stream_ingest_runs", f"""WITH d AS ({_DECISION.format(events='events')}), s AS (SELECT *, {_STATE} AS st FROM d) SELECT CAST(event_id AS VARCHAR) AS track_id, CAST(run AS VARCHAR) AS source_clip FROM s WHERE st = 'kept'""")
 def ingest_stream(spark, sf):
     path = scratch(spark)

@@ -49,10 +49,44 @@ def activity_sessions(det: DataFrame, gap: str, delay: str = "10 minutes", keys:
 
 
 def once_per_track(decisions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each track's first decision within the delay; repeats are dropped (K5)."""
+    """Each track's first decision within the delay; repeats are dropped (K5).
+
+    Keeps only the ids of the last ``delay``. :func:`decide_once` remembers for good.
+    """
     return decisions.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["track_id"])
 
 
+def record_first(decisions: DataFrame, batch_id: int, store: str, buckets: int = 64) -> None:
+    """Write those of a batch's decisions that are the first of their track to ``store``.
+
+    Of several in the batch the earliest counts, then the smallest in its other columns.
+    The store is laid out by batch and by a hash of the track id, so only the ids in the
+    buckets that the batch touches are read, and of them only what earlier batches wrote:
+    a batch that is run again finds what it found before and replaces its own folder.
+    Decisions without a track id are not decisions on a track and are left out.
+    """
+    spark = decisions.sparkSession
+    rest = [c for c in decisions.columns if c not in ("track_id", "created_at")]
+    once = decisions.where(F.col("track_id").isNotNull()).groupBy("track_id").agg(F.min(F.struct("created_at", *rest)).alias("d")).select("track_id", "d.*")
+    placed = once.select(*decisions.columns, F.pmod(F.xxhash64("track_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    touched = sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())  # at most ``buckets``
+    if batch_id > 0 and touched:
+        earlier = spark.read.schema(f"{_ddl(decisions)}, batch bigint, bucket int").parquet(store).where((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+        placed = placed.join(earlier.select("bucket", "track_id"), ["bucket", "track_id"], "left_anti").select(*decisions.columns, "bucket")
+    placed.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+
+def decide_once(decisions: DataFrame, store: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """One decision per track for good (K5, J12): the first that arrives, however late a repeat comes."""
+    return (decisions.writeStream.foreachBatch(lambda batch, batch_id: record_first(batch, batch_id, store, buckets))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def first_decisions(spark: SparkSession, schema: str, store: str) -> DataFrame:
+    """What :func:`decide_once` has kept; ``schema`` is that of the decisions."""
+    return spark.read.schema(f"{schema}, batch bigint, bucket int").parquet(store).drop("bucket")
+
+
 #: What a decision needs beside the observations, and what is taken where nothing is known.
 _CONTEXT = {
     "authorized": ("boolean", False), "flight_id": ("string", None), "operator": ("string", None), "site_known": ("boolean", None), "zone_class": ("string", None),

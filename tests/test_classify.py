@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytriage.constants import FEATURES
+from skytriage.functions.permute import shuffled
 from skytriage.operators import classify, separation as sp
 
 
@@ -34,6 +35,28 @@ def test_fit_importance_and_folds(spark):
     assert cv.count() == 60 and cv.groupBy("source_clip").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 21, 1000, 4099])
+def test_shuffles_are_permutations(spark, n):
+    rows = spark.range(n).select("id", *[shuffled(F.col("id"), n, F.struct(F.lit(k), F.lit("x"))).alias(f"p{k}") for k in range(3)]).orderBy("id").collect()
+    for k in range(3):
+        assert sorted(r[f"p{k}"] for r in rows) == list(range(n))
+    if n >= 1000:
+        # Nothing is left of the order: few fixed points, half of the steps go up, rows of a kind do not stay together.
+        p = [r["p0"] for r in rows]
+        assert sum(i == x for i, x in enumerate(p)) < 10 and 0.45 < sum(x < y for x, y in zip(p, p[1:])) / n < 0.55
+        assert 0.45 < sum(x % 2 == i % 2 for i, x in enumerate(p)) / n < 0.55 and [r["p0"] for r in rows] != [r["p1"] for r in rows]
+
+
+def test_importance_of_a_feature_that_follows_the_order_of_tracks(spark):
+    # The class alternates with the number of the track, and so does the feature that tells it: a rotation of the
+    # order would keep all pairs right or turn all of them wrong; dealt at random half of them stay right.
+    t = spark.range(200).select(F.format_string("t%04d", "id").alias("track_id"), F.when(F.col("id") % 2 == 0, "bird").otherwise("drone").alias("label"),
+                                (F.floor(F.col("id") / 10)).cast("string").alias("source_clip"), *[(F.col("id") % 2 * 10.0 if f == FEATURES[0] else F.lit(1.0)).alias(f) for f in FEATURES])
+    model, _ = classify.fit_motion_arm(t, max_iter=10)
+    imp = {r.feature: r.importance for r in classify.permutation_importance(model, t, repeats=4).collect()}
+    assert 0.4 < imp[FEATURES[0]] < 0.6 and all(v == 0 for f, v in imp.items() if f != FEATURES[0])
+
+
 def test_compare_arms(spark):
     def verdict(rows):
         s = spark.createDataFrame([(arm, b, c, t) for arm, b, c, t in rows], "arm string, bucket string, correct int, total int")
@@ -55,3 +78,19 @@ def test_disjoint_ranges(spark):
     assert r.n == 20 and r.low == 0 and r.high == pytest.approx(0.6)
     s = summary.first()
     assert s.found == 1 and not s.at_or_below_chance
+
+
+def test_first_decisions_are_kept_for_good_and_replays_change_nothing(spark, tmp_path):
+    from skytriage.streaming import flows
+
+    store, shape = f"{tmp_path}/store", "track_id string, created_at timestamp, verdict string"
+    batch = lambda rows: spark.createDataFrame(rows, "track_id string, created_at long, verdict string").withColumn("created_at", F.timestamp_seconds("created_at"))
+    parts = [[("a", 100, "watch"), ("a", 50, "dismiss"), ("a", 50, "escalate"), (None, 1, "watch")], [("b", 7, "watch"), ("a", 1, "escalate")], [], [("b", 9, "dismiss"), ("c", 3, None), ("c", 3, None)]]
+    want = [("a", "dismiss", 0), ("b", "watch", 1), ("c", None, 3)]
+    read = lambda: sorted((r.track_id, r.verdict, r.batch) for r in flows.first_decisions(spark, shape, store).collect())
+    for k, rows in enumerate(parts):
+        flows.record_first(batch(rows), k, store, 4)
+    assert read() == want
+    for k in (3, 1, 0, 1):
+        flows.record_first(batch(parts[k]), k, store, 4)
+        assert read() == want
