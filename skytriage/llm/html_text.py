@@ -58,8 +58,10 @@ TABLE_ENDS = frozenset("table tr tbody thead tfoot td th caption".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</[^A-Za-z][^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Values of the two properties that count, as words; a declaration with anything else is dropped, as browsers do.
+DISPLAY = re.compile(r"(?:none|contents|block|inline|flow|flow-root|flex|grid|table|ruby|list-item|run-in|inline-(?:block|flex|grid|table)|table-[a-z-]+|ruby-[a-z]+|inherit|initial|unset|revert|revert-layer)(?: [a-z-]+)*")
+VISIBILITY = re.compile(r"hidden|collapse|visible|inherit|initial|unset|revert|revert-layer")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -224,22 +226,39 @@ def parse(page: str) -> Node:
     return tree.body
 
 
+def declared(style: str) -> tuple[str | None, str | None]:
+    """What a style attribute says of ``display`` and ``visibility``: the last valid declaration, ``!important`` ones first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", style).split(";"):
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), " ".join(value.lower().split())
+        if not colon or name not in ("display", "visibility"):
+            continue
+        word, mark, after = value.partition("!")
+        word, important = word.strip(), bool(mark)
+        if important and after.strip() != "important" or not (DISPLAY if name == "display" else VISIBILITY).fullmatch(word):
+            continue
+        if important or not found.get(name, (False, ""))[0]:
+            found[name] = (important, word)
+    return tuple(found[p][1] if p in found else None for p in ("display", "visibility"))
+
+
 def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
-    """Whether an element takes part at all, and whether its own text can be seen."""
+    """Whether an element takes part at all, and whether its own text can be seen.
+
+    The style attribute is heard before ``hidden`` and ``dialog``; style sheets are not read.
+    """
     if node.tag in HIDDEN:
         return False, False
-    attrs = node.attrs
-    if attrs:
-        if "hidden" in attrs and attrs["hidden"].lower() != "until-found":
-            return False, False
-        style = attrs.get("style")
-        if style:
-            if _NONE.search(style):
-                return False, False
-            v = _VISIBILITY.search(style)
-            if v:
-                visible = v.group(1).lower() == "visible"
-    if node.tag == "dialog" and not (attrs and "open" in attrs):
+    attrs = node.attrs or {}
+    display, visibility = declared(attrs["style"]) if attrs.get("style") else (None, None)
+    if visibility not in (None, "inherit", "unset"):
+        visible = visibility not in ("hidden", "collapse")
+    if display is not None and not display.startswith("revert"):
+        return display != "none", visible
+    if "hidden" in attrs and attrs["hidden"].lower() != "until-found":
+        return False, False
+    if node.tag == "dialog" and "open" not in attrs:
         return False, False
     return True, visible
 
@@ -416,14 +435,21 @@ def _numbers(node: Node) -> dict[int, int]:
     return out
 
 
-def _rows(node: Node, visible: bool) -> Iterator[tuple[Node, bool]]:
+def _rows(node: Node, visible: bool, foot: bool) -> Iterator[tuple[Node, bool]]:
+    """Rows of a table that are shown; those of its first foot, which stands below all others, are a call of their own."""
+    footed = False
     for kid in node.kids:
-        if isinstance(kid, Node):
-            there, seen = _shown(kid, visible)
-            if there and kid.tag == "tr":
-                yield kid, seen
-            elif there and kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid, seen)
+        if not isinstance(kid, Node):
+            continue
+        there, seen = _shown(kid, visible)
+        if not there:
+            continue
+        if kid.tag == "tr" and not foot:
+            yield kid, seen
+        elif kid.tag in ("thead", "tbody", "tfoot"):
+            below, footed = kid.tag == "tfoot" and not footed, footed or kid.tag == "tfoot"
+            if below == foot:
+                yield from _rows(kid, seen, False)
 
 
 def table(node: Node, visible: bool, nest: int) -> Generator:
@@ -439,7 +465,7 @@ def table(node: Node, visible: bool, nest: int) -> Generator:
                 lines += inner.done
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}
-    for row, seen in _rows(node, visible):
+    for row, seen in [*_rows(node, visible, False), *_rows(node, visible, True)]:
         cells: dict[int, tuple[list[str], int]] = {}
         at = 0
         for cell in row.kids:

@@ -72,6 +72,25 @@ def test_text_in_tables_outside_of_cells(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize("style, seen", [
+    ("display:none", False), ("display:none;display:block", True), ("display:block;display:none", False), ("display:none!important;display:block", False), ("display : NONE ! important ;display:block!important", True),
+    ("display:none;display:nonsense", False), ("/* display:none */color:red", True), ("x-display:none", True), ("display:none/*", False), ("background:url(a:b);display:none", False), ("display:inline-block", True),
+    ("visibility:hidden;visibility:visible", True), ("visibility:visible;visibility:hidden", False), ("visibility:hidden!important;visibility:visible", False), ("visibility:collapse", False), ("visibility:gone", True)])
+def test_the_last_declaration_counts(style, seen):
+    assert visible_text(f'<p>a</p><p style="{style}">b</p>') == ("a\n\nb" if seen else "a")
+
+
+def test_declarations_and_attributes():
+    assert visible_text("<p hidden>no<p hidden style='display:block'>yes<p hidden style='color:red'>no") == "yes"
+    assert visible_text("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b><i style='visibility:inherit'>no</i></div>") == "yes"
+    assert visible_text("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+
+
+def test_the_foot_of_a_table_stands_below():
+    assert visible_text("<table><tfoot><tr><td>sum</tfoot><thead><tr><td>head</thead><tbody><tr><td>row</tbody></table>") == "head\nrow\nsum"
+    assert visible_text("<table><tfoot><tr><td>1</tfoot><tfoot><tr><td>2</tfoot><tr><td>3</table>") == "2\n3\n1"
+
+
 @pytest.mark.parametrize("depth", [119, 130, 20000])
 def test_depth_changes_nothing(depth):
     top = "<font>" * depth
