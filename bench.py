@@ -11,7 +11,10 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+# Python workers import the package too, wherever the bench is started from.
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (HERE, os.environ.get("PYTHONPATH")) if p)
 
 HEADLINE = [
     "b9_iou_pairs", "c2_c3_merge_tiles_nms", "d2_link_detections", "d5_track_summary",

@@ -7,8 +7,12 @@ free, preferring boxes inside the size range of the evaluation cell. Several cel
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skytriage.constants import BUCKETS
@@ -73,74 +77,109 @@ def box_pairs(det: DataFrame, gt: DataFrame, min_iou: float, crowd: int = CROWD)
         .select(*FRAME, "det_index", "gt_index", "score", "iou", pixels_on_target(field_box(F.col("g"))).alias("gt_px")))
 
 
+#: Rows that are settled at a time, to the end of a frame.
+_AT_ONCE = 1 << 15
+
+
+def _settled(t: pa.Table, cells: list[Cell]) -> pa.RecordBatch:
+    """Whole frames, each with its detections in turn and then its boxes by index, settled in all cells.
+
+    Pairs that nobody else competes for are settled together. The other detections take
+    their turns; what a cell has taken is a column of flags, so a turn is a few operations
+    on (cells x boxes in reach) whatever the number of cells.
+    """
+    thr = np.array([c.iou_threshold for c in cells])
+    lo, hi = (np.array([c.bounds[k] for c in cells]) for k in (0, 1))
+    number = lambda name: t.column(name).to_numpy().astype(np.float64)
+    is_gt, index = t.column("is_gt").to_numpy(), t.column("index").to_numpy()
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in FRAME:
+        new[1:] |= pc.fill_null(pc.not_equal(t.column(c).slice(1), t.column(c).slice(0, t.num_rows - 1)), True).to_numpy()
+    frame = np.cumsum(new) - 1
+    dets, gts = np.flatnonzero(~is_gt), np.flatnonzero(is_gt)
+    boxes_of = np.bincount(frame[gts], minlength=frame[-1] + 1)
+    first_box = np.cumsum(boxes_of) - boxes_of
+    # Every detection with every box of its frame.
+    many = boxes_of[frame[dets]]
+    i = np.repeat(np.arange(len(dets)), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_box[frame[dets]], many)
+    x1, y1, x2, y2 = (number(c) for c in ("x1", "y1", "x2", "y2"))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        size = (x2 - x1) * (y2 - y1)
+        p, q = dets[i], gts[j]
+        inter = np.maximum(np.minimum(x2[p], x2[q]) - np.maximum(x1[p], x1[q]), 0.0) * np.maximum(np.minimum(y2[p], y2[q]) - np.maximum(y1[p], y1[q]), 0.0)
+        overlap = inter / (size[p] + size[q] - inter)
+        near = np.flatnonzero(overlap >= thr.min())
+        i, j, overlap = i[near], j[near], overlap[near]
+        px = np.sqrt(size[gts])
+    inside = (px[:, None] >= lo) & (px[:, None] < hi)
+    kind = np.full((len(dets), len(cells)), FALSE_POSITIVE, np.int8)
+    got = np.full((len(dets), len(cells)), -1, np.int64)
+    alone = (np.bincount(i, minlength=len(dets))[i] == 1) & (np.bincount(j, minlength=len(gts))[j] == 1)
+    able = overlap[alone, None] >= thr
+    kind[i[alone]] = np.where(able, np.where(inside[j[alone]], TRUE_POSITIVE, IGNORED), FALSE_POSITIVE)
+    got[i[alone]] = np.where(able, j[alone, None], -1)
+    i, j, overlap = i[~alone], j[~alone], overlap[~alone]
+    free = np.ones((len(gts), len(cells)), bool)
+    edges = np.flatnonzero(np.diff(i, prepend=-1, append=len(dets))) if len(i) else np.zeros(1, int)
+    rows = np.arange(len(cells))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        d, near_by, over = i[a], j[a:b], overlap[a:b, None]
+        able = free[near_by] & (over >= thr)
+        within = able & inside[near_by]
+        best = np.where(within.any(axis=0), np.where(within, over, -1.0).argmax(axis=0), np.where(able, over, -1.0).argmax(axis=0))
+        won = able[best, rows]
+        box = near_by[best]
+        kind[d] = np.where(within[best, rows], TRUE_POSITIVE, np.where(won, IGNORED, FALSE_POSITIVE))
+        got[d] = np.where(won, box, -1)
+        free[box[won], rows[won]] = False
+    flat = got.ravel()
+    outcome = pa.StructArray.from_arrays([pa.array(kind.ravel()), pa.array(index[gts[flat]] if len(gts) else flat, mask=flat < 0)], names=["kind", "gt"])
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(cells), dtype=np.int32)), outcome)
+    take = pa.array(dets)
+    return pa.RecordBatch.from_arrays([*(t.column(c).take(take).combine_chunks() for c in FRAME), pa.array(index[dets]), t.column("score").take(take).combine_chunks(), listed],
+                                      names=[*FRAME, "det_index", "score", "cells"])
+
+
+def _settle(cells: list[Cell]):
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            end = t.num_rows
+            if not last:
+                # Rows of the last frame wait for the rest of it.
+                same = np.ones(end, bool)
+                for c in FRAME:
+                    same &= pc.fill_null(pc.equal(t.column(c), t.column(c)[end - 1]), False).to_numpy()
+                end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if end:
+                yield _settled(t.slice(0, end), cells)
+            held = t.slice(end).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= _AT_ONCE:
+                yield from whole(False)
+        if sum(b.num_rows for b in held):
+            yield from whole(True)
+
+    return settle
+
+
 def _fold_frames(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:
-    """One shuffle brings both sides of a frame together; the fold runs on arrays."""
-    lowest = min(c.iou_threshold for c in cells)
-    box = F.struct("x1", "y1", "x2", "y2").alias("box")
-    both = det.select(*FRAME, F.struct((-F.col("score")).alias("key"), F.col("det_index"), box).alias("d"),
-                      F.lit(None).cast("struct<gt_index:bigint,box:struct<x1:double,y1:double,x2:double,y2:double>>").alias("g")
-                      ).unionByName(
-        gt.select(*FRAME,
-                  F.lit(None).cast("struct<key:double,det_index:bigint,box:struct<x1:double,y1:double,x2:double,y2:double>>").alias("d"),
-                  F.struct(F.col("gt_index").cast("long").alias("gt_index"), box).alias("g")))
-    frames = both.groupBy(*FRAME).agg(
-        F.sort_array(F.collect_list("d")).alias("dets"), F.collect_list("g").alias("gts"))
-
-    def candidates(d: Column) -> Column:
-        near = F.transform(F.col("gts"), lambda g: F.struct(
-            (-iou(field_box(d["box"]), field_box(g["box"]))).alias("neg"),
-            g["gt_index"].alias("gt"),
-            pixels_on_target(field_box(g["box"])).alias("px")))
-        return F.sort_array(F.filter(near, lambda c: c["neg"] <= -lowest))
-
-    # Only detections that compete need a turn. One that overlaps nothing is a false positive
-    # in every cell, and one whose only box nobody else overlaps gets it wherever the overlap suffices.
-    with_near = frames.where(F.size("dets") > 0).select(*FRAME, F.transform("dets", lambda d: F.struct(
-        d["det_index"].alias("det_index"), d["key"].alias("key"), candidates(d).alias("near"))).alias("dets")).withColumn(
-        "wanted", F.array_sort(F.flatten(F.transform("dets", lambda d: F.transform(d["near"], lambda n: n["gt"]))))).withColumn(
-        "shared", F.array_compact(F.transform("wanted", lambda g, i: F.when((i > 0) & (F.get("wanted", i - 1) == g), g))))
-    free = lambda d: (F.size(d["near"]) == 1) & ~F.array_contains("shared", F.get(d["near"], F.lit(0))["gt"])
-    with_near = with_near.select(
-        *FRAME, F.filter("dets", lambda d: (F.size(d["near"]) > 0) & ~free(d)).alias("queue"),
-        F.filter("dets", lambda d: (F.size(d["near"]) > 0) & free(d)).alias("single"), F.filter("dets", lambda d: F.size(d["near"]) == 0).alias("alone"))
-
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("taken"),
-        F.array().cast("array<struct<inside:bigint,other:bigint>>").alias("out"))
-
-    def settle(cell: Column) -> Column:
-        def step(acc: Column, d: Column) -> Column:
-            free = F.filter(d["near"], lambda c: (c["neg"] <= -cell["thr"])
-                            & ~F.array_contains(acc["taken"], c["gt"]))
-            # Inside the size range first, then best overlap; ``near`` is already in that order
-            # within each half.
-            inside = F.get(F.filter(free, lambda c: (c["px"] >= cell["lo"]) & (c["px"] < cell["hi"])), F.lit(0))
-            picked = F.struct(inside["gt"].alias("inside"), F.get(free, F.lit(0))["gt"].alias("other"))
-            return F.struct(
-                F.array_compact(F.array_append(acc["taken"], F.coalesce(picked["inside"], picked["other"]))).alias("taken"),
-                F.array_append(acc["out"], picked).alias("out"))
-
-        return F.transform(F.aggregate("queue", start, step, lambda acc: acc["out"]), lambda o: F.struct(
-            F.when(o["inside"].isNotNull(), TRUE_POSITIVE).when(o["other"].isNotNull(), IGNORED)
-            .otherwise(FALSE_POSITIVE).cast("tinyint").alias("kind"),
-            F.coalesce(o["inside"], o["other"]).alias("gt")))
-
-    def unopposed(n: Column) -> Column:
-        return F.transform(cell_array(cells), lambda c: F.struct(
-            F.when(n["neg"] > -c["thr"], FALSE_POSITIVE).when((n["px"] >= c["lo"]) & (n["px"] < c["hi"]), TRUE_POSITIVE)
-            .otherwise(IGNORED).cast("tinyint").alias("kind"),
-            F.when(n["neg"] <= -c["thr"], n["gt"]).alias("gt")))
-
-    settled = with_near.select(*FRAME, "queue", "single", "alone", F.transform(cell_array(cells), settle).alias("settled"))
-    miss = F.struct(F.lit(FALSE_POSITIVE).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("gt"))
-    missed = F.array(*[miss] * len(cells))
-    rows = F.concat(
-        F.transform("queue", lambda d, i: F.struct(d["det_index"], (-d["key"]).alias("score"),
-                                                   F.transform("settled", lambda s: F.get(s, i)).alias("cells"))),
-        F.transform("single", lambda d: F.struct(d["det_index"], (-d["key"]).alias("score"), unopposed(F.get(d["near"], F.lit(0))).alias("cells"))),
-        F.transform("alone", lambda d: F.struct(d["det_index"], (-d["key"]).alias("score"), missed.alias("cells"))))
-    # An outer explode, since an inner one first evaluates the whole fold to see if it is empty.
-    return settled.select(*FRAME, F.explode_outer(rows).alias("r")).select(*FRAME, "r.det_index", "r.score", "r.cells")
+    """One shuffle brings both sides of a frame together; a task settles its frames as they stream by."""
+    corner = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    both = det.select(*FRAME, F.lit(False).alias("is_gt"), F.col("det_index").alias("index"), *corner, F.col("score").cast("double").alias("score")).unionByName(
+        gt.select(*FRAME, F.lit(True).alias("is_gt"), F.col("gt_index").alias("index"), *corner, F.lit(None).cast("double").alias("score")))
+    kinds = dict(both.dtypes)
+    # Within a frame detections come first, in the order of their turns: no score, then falling score, ties by index.
+    turns = both.repartition(*FRAME).sortWithinPartitions(*FRAME, "is_gt", F.desc_nulls_first("score"), "index")
+    return turns.mapInArrow(_settle(cells), ", ".join(f"{c} {kinds[c]}" for c in FRAME) + ", det_index bigint, score double, cells array<struct<kind:tinyint,gt:bigint>>")
 
 
 def _pairs_by_rounds(det: DataFrame, gt: DataFrame, cells: list[Cell]) -> DataFrame:

@@ -109,6 +109,14 @@ def affinities(spark, sf):
     return c.select("source_video", "a_frame", "a_det", "b_frame", "b_det", F.round("affinity", 6).alias("affinity"))
 
 
+@query("d1_affinity_totals", f"""{_CAND} SELECT source_video, CAST(gap AS INT) AS gap, count(*) AS n_pairs, CAST(sum(CAST(round(aff * 1000000) AS BIGINT)) AS BIGINT) AS millionths,
+         max(round(aff, 6)) AS strongest, count(*) FILTER (aff >= 0.3) AS n_overlapping FROM ok GROUP BY 1, 2""")
+def affinity_totals(spark, sf):
+    c = linking.link_candidates(view(spark, sf, "fx_detections"), 2, 0.3, 2.0)
+    return c.groupBy("source_video", "gap").agg(F.count("*").alias("n_pairs"), F.sum(F.round(F.col("affinity") * 1000000).cast("bigint")).alias("millionths"),
+                                                F.max(F.round("affinity", 6)).alias("strongest"), F.count_if(F.col("affinity") >= 0.3).alias("n_overlapping"))
+
+
 @query("d2_link_detections", f"""{_CAND},
     chain AS (SELECT d.source_video, d.frame_index, d.det_index, d.frame_index AS root_frame, d.det_index AS root_det FROM fx_detections d
               WHERE NOT EXISTS (SELECT 1 FROM link l WHERE l.source_video = d.source_video AND l.b_frame = d.frame_index AND l.b_det = d.det_index)
