@@ -6,7 +6,7 @@ of boxes in it do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skytriage.functions.geometry import affinity, corners, field_box, pixels_on_target
 from skytriage.operators.grid import near_cells, near_probes
@@ -47,14 +47,23 @@ def link_candidates(det: DataFrame, max_gap: int, iou_threshold: float, factor:
 
 
 def mutual_links(candidates: DataFrame) -> DataFrame:
-    """Pairs that are each other's best: strongest, then nearest in time, then lowest index."""
-    out_best = Window.partitionBy("source_video", "a_frame", "a_det")
-    in_best = Window.partitionBy("source_video", "b_frame", "b_det")
-    forward = F.struct("affinity", (-F.col("gap")).alias("g"), (-F.col("b_det")).alias("d"))
-    backward = F.struct("affinity", (-F.col("gap")).alias("g"), (-F.col("a_det")).alias("d"))
-    return (
-        candidates.withColumn("_f", F.max(forward).over(out_best)).withColumn("_b", F.max(backward).over(in_best))
-        .where((forward == F.col("_f")) & (backward == F.col("_b"))).drop("_f", "_b"))
+    """Pairs that are each other's best: strongest, then nearest in time, then lowest index.
+
+    Each pair counts for both of its ends, and one aggregation, combined before the shuffle,
+    finds the best of every end; a pair is a link where its two ends name each other.
+    """
+    def at(frame: str, det: str, side: int, other: str) -> Column:
+        best = F.struct("affinity", (-F.col("gap")).alias("g"), (-F.col(other)).alias("o"))
+        return F.struct(F.col(frame).alias("frame"), F.col(det).alias("det"), F.lit(side).alias("side"), best.alias("best"))
+
+    ends = candidates.select("source_video", F.inline(F.array(at("a_frame", "a_det", 0, "b_det"), at("b_frame", "b_det", 1, "a_det"))))
+    best = ends.groupBy("source_video", "frame", "det", "side").agg(F.max("best").alias("best"))
+    ahead = best.where("side = 0").select(
+        "source_video", F.col("frame").alias("a_frame"), F.col("det").alias("a_det"), (F.col("frame") - F.col("best.g")).alias("b_frame"),
+        (-F.col("best.o")).alias("b_det"), (-F.col("best.g")).alias("gap"), F.col("best.affinity").alias("affinity"))
+    back = best.where("side = 1").select(
+        "source_video", F.col("frame").alias("b_frame"), F.col("det").alias("b_det"), (F.col("frame") + F.col("best.g")).alias("a_frame"), (-F.col("best.o")).alias("a_det"))
+    return ahead.join(back, ["source_video", "a_frame", "a_det", "b_frame", "b_det"])
 
 
 def chain_labels(links: DataFrame) -> DataFrame:
