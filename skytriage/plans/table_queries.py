@@ -149,6 +149,18 @@ def progress(spark, sf):
     return out.groupBy("job_id").agg(F.max("frames_done").alias("frames_done"), F.max("progress").alias("progress"))
 
 
+@query("k2_progress_share", """WITH d AS (SELECT user_id AS job_id, CAST(floor((max(event_id) + 1) / 30) * 30 AS BIGINT) AS frames_done, count(*) AS n FROM events GROUP BY 1)
+  SELECT job_id, frames_done, CASE WHEN job_id % 5 IN (0, 1) THEN 0.0 WHEN job_id % 5 = 2 THEN 1.0 ELSE round(least(1.0, frames_done::DOUBLE / (n * 200)), 9) END::DOUBLE AS progress FROM d""")
+def progress_share(spark, sf):
+    """Jobs of unknown, zero, short and long totals, the last of which are not done yet or just so."""
+    job = F.col("user_id")
+    n = F.when(job % 5 == 1, 0).when(job % 5 == 2, 1).otherwise(F.count("*") * 200)
+    totals = table(spark, sf, "events").groupBy("user_id").agg(n.alias("n_frames")).where(job % 5 != 0).select(job.alias("job_id"), "n_frames")
+    s = _event_stream(spark, sf).select(job.alias("job_id"), F.col("event_id").alias("frame_index"))
+    out = flows.run_to_table(flows.job_progress(s, totals), scratch(spark), "update")
+    return out.groupBy("job_id").agg(F.max("frames_done").alias("frames_done"), F.round(F.max("progress"), 9).alias("progress"))
+
+
 @query("k3_stream_false_alarms", """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) FILTER (value / 60 >= 0.5) AS n_false_alarms, count(*) AS n_frames, count(*) / 30.0 AS seconds FROM events GROUP BY 1)
   SELECT start, n_false_alarms, n_frames, round(seconds, 6) AS seconds, round(n_false_alarms / (seconds / 3600), 4) AS per_hour FROM w WHERE start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
 def alarm_stream(spark, sf):

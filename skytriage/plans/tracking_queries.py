@@ -128,6 +128,19 @@ def linked(spark, sf):
     return out.select("source_video", "frame_index", "det_index", "root_frame", "root_det")
 
 
+@query("c6_funnel_of_linked_tracks", f"""{_CAND},
+    t AS (SELECT d.source_video, count(*) AS n_tracks FROM fx_detections d
+          WHERE NOT EXISTS (SELECT 1 FROM link l WHERE l.source_video = d.source_video AND l.b_frame = d.frame_index AND l.b_det = d.det_index) GROUP BY 1)
+  SELECT s.s_suppkey AS source_video, count(d.score) AS n_detections, count(d.score) FILTER (d.score >= 0.7) AS n_high, count(d.score) FILTER (d.score >= 0.2) AS n_low,
+         max(d.score) AS best_score, coalesce(any_value(t.n_tracks), 0) AS n_tracks, count(d.score) > 0 AND coalesce(any_value(t.n_tracks), 0) = 0 AS no_tracks_from_detections
+  FROM supplier s LEFT JOIN fx_detections d ON d.source_video = s.s_suppkey LEFT JOIN t ON t.source_video = s.s_suppkey GROUP BY s.s_suppkey""")
+def funnel_of_tracks(spark, sf):
+    """The funnel down to the tracklets that linking makes of the same detections."""
+    det = view(spark, sf, "fx_detections")
+    tracks = linking.link_detections(det, max_gap=2).select("source_video", "root_frame", "root_det").distinct()
+    return tiling.detection_funnel(det, tracks, videos(spark, sf), high=0.7, low=0.2)
+
+
 @query("d3_d4_track_videos")
 def tracked(spark, sf):
     return track_videos(view(spark, sf, "fx_detections"), view(spark, sf, "fx_frames"), include_expired=True)
