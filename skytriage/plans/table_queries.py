@@ -170,6 +170,22 @@ def alarm_stream(spark, sf):
     return out.select("start", "n_false_alarms", "n_frames", F.round("seconds", 6).alias("seconds"), F.round("per_hour", 4).alias("per_hour"))
 
 
+@query("k3_late_rows", """WITH p AS (SELECT ts, CAST(extract('day' FROM ts) AS INT) % 3 AS part FROM events),
+    m AS (SELECT part, max(ts) AS latest, count(*) AS n FROM p GROUP BY 1),
+    w AS (SELECT part, n, (SELECT max(latest) FROM m e WHERE e.part < m.part) - INTERVAL '10 minutes' AS watermark FROM m)
+  SELECT CAST(w.part AS BIGINT) AS batch, any_value(w.n) AS n_rows, count(*) FILTER (time_bucket(INTERVAL '1 hour', p.ts) + INTERVAL '1 hour' <= w.watermark) AS n_late
+  FROM p JOIN w USING (part) GROUP BY 1""")
+def late_rows(spark, sf):
+    """Every third day arrives together, so most of what comes after the first part is late."""
+    path = scratch(spark)
+    events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    for part in range(3):
+        events.where(F.dayofmonth("ts") % 3 == part).write.parquet(f"{path}/in/part={part}")
+        arriving = spark.readStream.schema("ts timestamp, event_id bigint").parquet(f"{path}/in/part=*")
+        flows.report_late(arriving.select("ts", "event_id"), f"{path}/late", f"{path}/log").awaitTermination()
+    return spark.read.schema("n_rows bigint, n_late bigint, batch bigint").parquet(f"{path}/late/counts").select("batch", "n_rows", "n_late")
+
+
 _KIND = "user_id % 8"
 
 

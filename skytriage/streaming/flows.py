@@ -42,6 +42,35 @@ def stream_false_alarms(det: DataFrame, frames: DataFrame, confidence_threshold:
         (F.col("_ci.low") / hours).alias("low_per_hour"), (F.col("_ci.high") / hours).alias("high_per_hour"))
 
 
+def record_late(rows: DataFrame, batch_id: int, store: str, window: str = "1 hour", delay: str = "10 minutes") -> None:
+    """Write how many rows of a batch come too late for their window, and the rows themselves.
+
+    A row is late when its window ended by the watermark: the latest ``ts`` of all batches
+    before, less ``delay``, which is when :func:`stream_false_alarms` and the like drop it
+    without a word. ``store/counts`` has a row per batch (``n_rows, n_late, latest`` and the
+    watermark), ``store/rows`` what was late, in the same columns. A batch that runs again
+    sees only the batches before it and replaces its own folders. Rows without a time are not late.
+    """
+    spark = rows.sparkSession
+    shape = "n_rows bigint, n_late bigint, latest timestamp, watermark timestamp, batch bigint"
+    before = None
+    if batch_id > 0:
+        before = spark.read.schema(shape).parquet(f"{store}/counts").where(F.col("batch") < batch_id).agg(F.unix_micros(F.max("latest"))).first()[0]
+    mark = F.timestamp_micros(F.lit(before).cast("bigint")) - F.expr(f"INTERVAL '{delay}'")
+    late = F.coalesce(F.window("ts", window)["end"] <= mark, F.lit(False))
+    # Spark drops a row without a time wherever a window is asked for.
+    told = rows.where(F.col("ts").isNotNull()).withColumn("_late", late).unionByName(rows.where(F.col("ts").isNull()).withColumn("_late", F.lit(False)))
+    told.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_late").alias("n_late"), F.max("ts").alias("latest")).withColumn("watermark", mark).write.mode(
+        "overwrite").parquet(f"{store}/counts/batch={batch_id}")
+    told.where("_late").drop("_late").write.mode("overwrite").parquet(f"{store}/rows/batch={batch_id}")
+
+
+def report_late(stream: DataFrame, store: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes") -> StreamingQuery:
+    """Late rows of a stream (K3) by batch, beside the query that drops them; ``stream`` has ``ts``."""
+    return (stream.writeStream.foreachBatch(lambda batch, batch_id: record_late(batch, batch_id, store, window, delay))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def activity_sessions(det: DataFrame, gap: str, delay: str = "10 minutes", keys: list[str] = ["source_video"]) -> DataFrame:
     """Stretches of detections without a pause longer than ``gap`` (K7)."""
     return det.withWatermark("ts", delay).groupBy(*keys, F.session_window("ts", gap)).agg(F.count("*").alias("n_detections")).select(

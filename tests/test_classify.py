@@ -94,3 +94,22 @@ def test_first_decisions_are_kept_for_good_and_replays_change_nothing(spark, tmp
     for k in (3, 1, 0, 1):
         flows.record_first(batch(parts[k]), k, store, 4)
         assert read() == want
+
+
+def test_late_rows_are_counted_and_kept(spark, tmp_path):
+    from skytriage.streaming import flows
+
+    store = f"{tmp_path}/late"
+    batch = lambda rows: spark.createDataFrame([(s, n) for s, n in rows], "s long, n int").select(F.timestamp_seconds("s").alias("ts"), "n")
+    hour = 3600
+    parts = [[(5 * hour, 1), (10 * hour + 600, 2), (None, 3)], [(8 * hour, 4), (9 * hour, 5), (10 * hour - 1, 6), (10 * hour, 7)], [], [(10 * hour, 8), (30 * hour, 9)], [(28 * hour, 10), (29 * hour, 11)]]
+    # The watermark of the second part is at ten o'clock: the window from nine to ten has just ended.
+    want = {0: [], 1: [4, 5, 6], 2: [], 3: [], 4: [10]}
+    for k in (*range(len(parts)), 1, 3):
+        flows.record_late(batch(parts[k]), k, store)
+    counts = {r.batch: (r.n_rows, r.n_late) for r in spark.read.parquet(f"{store}/counts").collect()}
+    kept = {}
+    for r in spark.read.parquet(f"{store}/rows").collect():
+        kept.setdefault(r.batch, []).append(r.n)
+    assert counts == {k: (len(parts[k]), len(v)) for k, v in want.items()}
+    assert {k: sorted(v) for k, v in kept.items()} == {k: v for k, v in want.items() if v}
