@@ -4,7 +4,10 @@ The score of a document is the sum of the log-probabilities of its words, each g
 on either side: log P(class | both sides) + log P(word | class). Words are classed: the most
 frequent ones of the corpus are classes of their own, the others share classes by the hash of
 their ending; how many classes there are follows the vocabulary (``classes_for``). A small
-network predicts the class of a masked word from the classes of the two words on either side.
+network predicts the class of a masked word from the classes of the two words on either side,
+in two steps: P(group | sides) * P(class | group, sides), with about as many groups as a group
+has classes. Both are softmax layers, so the products sum to one over all classes, and a word
+costs about twice the root of the number of classes instead of that number.
 The share of a word in its class comes from the counts of all words of the corpus: those of the
 ``KNOWN`` most frequent are sent to the tasks, the others stay in Spark and are joined by word.
 Counting covers every document, and so does training: each task goes over its documents once,
@@ -41,6 +44,8 @@ BATCH = 4096
 RATE = 0.08
 #: The first round goes over one in so many documents, to give the second, over all, a common start.
 WARM_UP = 16
+#: Weights are summed over tasks in pieces of so many numbers, each a group of its own.
+PIECE = 1 << 14
 WORD_CACHE = 1 << 18
 #: Distinct words that a task counts before it hands them on.
 COUNTER = 1 << 18
@@ -127,15 +132,18 @@ def class_sizes(counts: DataFrame, known: list[tuple[str, int]], classes: int) -
 
 
 class Network:
-    """Weights: a table per place of the window, hidden bias, output matrix and bias."""
+    """Weights: a table per place of the window, hidden bias, matrix and bias of the groups, and those of the classes of each group.
+
+    Class ``k`` is number ``k % size`` of group ``k // size``.
+    """
 
     PLACES = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
 
     def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
         if flat is not None:
-            classes = (len(flat) - HIDDEN) // ((2 * WINDOW + 1) * HIDDEN + 1)
-        self.classes = classes
-        self.shapes = ((2 * WINDOW, classes, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,))
+            classes = next(1 << k for k in range(1, 17) if self.length(1 << k) >= len(flat))
+        self.classes, self.shapes = classes, self.layout(classes)
+        self.size = self.shapes[4][2]
         if flat is None:
             rng = np.random.default_rng(11)
             self.parts = [rng.normal(0, 0.1, s).astype(np.float32) for s in self.shapes]
@@ -147,43 +155,95 @@ class Network:
                 at += n
         self.squares = [np.full(s, 1e-2, dtype=np.float32) for s in self.shapes]
 
+    @staticmethod
+    def layout(classes: int) -> tuple[tuple[int, ...], ...]:
+        """Shapes of the weights for a power of two of classes."""
+        size = 1 << (classes.bit_length() - 1) // 2
+        groups = classes // size
+        return (2 * WINDOW, classes, HIDDEN), (HIDDEN,), (HIDDEN, groups), (groups,), (groups, HIDDEN, size), (groups, size)
+
+    @classmethod
+    def length(cls, classes: int) -> int:
+        return sum(int(np.prod(s)) for s in cls.layout(classes))
+
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
 
-    def forward(self, context: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities of all classes."""
-        tables, bias, matrix, out_bias = self.parts
+    def hidden(self, context: list[np.ndarray]) -> np.ndarray:
+        tables, bias = self.parts[:2]
         z = np.tile(bias, (len(context[0]), 1))
         for k, ids in enumerate(context):
             z += tables[k][ids]
-        h = np.tanh(z)
-        logits = h @ matrix + out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return h, logits
+        return np.tanh(z, out=z)
+
+    def by_group(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of the words in which those of one group follow each other, and the stretch of each group that occurs."""
+        group = (target // self.size).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=self.classes // self.size))
+        return order, [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if b > a]
+
+    def log_prob(self, context: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+        """Log-probability of the class of each word."""
+        order, stretches = self.by_group(target)
+        h, goal = self.hidden(context)[order], target[order]
+        found = _log_softmax(h @ self.parts[2] + self.parts[3])[np.arange(len(goal)), goal // self.size]
+        for g, s in stretches:
+            found[s] += _log_softmax(h[s] @ self.parts[4][g] + self.parts[5][g])[np.arange(s.stop - s.start), goal[s] % self.size]
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     def learn(self, context: list[np.ndarray], target: np.ndarray) -> None:
-        """One step of Adagrad on a batch."""
-        h, logp = self.forward(context)
+        """One step of Adagrad on a batch; weights that no word of the batch uses stay as they are."""
         n = len(target)
-        g = np.exp(logp)
-        g[np.arange(n), target] -= 1
-        g /= n
-        dz = (g @ self.parts[2].T) * (1 - h * h)
-        tables = np.empty(self.shapes[0], dtype=np.float32)
-        columns = np.ascontiguousarray(dz.T)
+        order, stretches = self.by_group(target)
+        context, goal = [ids[order] for ids in context], target[order]
+        h = self.hidden(context)
+        g = _error(h @ self.parts[2] + self.parts[3], goal // self.size, n)
+        dh = g @ self.parts[2].T
+        for k, s in stretches:
+            e = _error(h[s] @ self.parts[4][k] + self.parts[5][k], goal[s] % self.size, n)
+            dh[s] += e @ self.parts[4][k].T
+            self.step(4, k, h[s].T @ e)
+            self.step(5, k, e.sum(axis=0))
+        dz = dh * (1 - h * h)
         for k, ids in enumerate(context):
-            for j in range(HIDDEN):
-                tables[k, :, j] = np.bincount(ids, weights=columns[j], minlength=self.classes)
-        for part, square, grad in zip(self.parts, self.squares, (tables, dz.sum(axis=0), h.T @ g, g.sum(axis=0))):
-            square += grad * grad
-            part -= RATE * grad / np.sqrt(square)
+            ids = ids.astype(np.uint16)
+            turn = np.argsort(ids, kind="stable")
+            ids = ids[turn]
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            self.step(0, (k, ids[first].astype(np.int64)), np.add.reduceat(dz[turn], first, axis=0))
+        self.step(1, ..., dz.sum(axis=0))
+        self.step(2, ..., h.T @ g)
+        self.step(3, ..., g.sum(axis=0))
+
+    def step(self, part: int, at, grad: np.ndarray) -> None:
+        square = self.squares[part][at] + grad * grad
+        self.squares[part][at] = square
+        self.parts[part][at] -= RATE * grad / np.sqrt(square)
 
     @classmethod
     def context(cls, padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         return [padded[at + k] for k in cls.PLACES]
 
 
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
+
+
+def _error(logits: np.ndarray, goal: np.ndarray, n: int) -> np.ndarray:
+    """Slope of the mean loss over ``n`` words by the logits."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    logits[np.arange(len(goal)), goal] -= 1
+    logits /= n
+    return logits
+
+
 def _padded(documents: list[bytes], kind: np.dtype = letters(CLASSES)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all documents in a row with edges between them, the places of the words, and the document of each."""
     edge = np.full(WINDOW, EDGE, dtype=kind).tobytes()
@@ -237,12 +297,14 @@ def train_round(coded: DataFrame, start: np.ndarray) -> np.ndarray:
                 part = at[k: k + BATCH]
                 net.learn(Network.context(row, part), row[part])
             seen += len(at)
-        flat = np.concatenate([net.flat() * seen, [seen]])
-        yield pa.RecordBatch.from_arrays([pa.array(["weights"]), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["name", "task", "vector"])
+        flat = np.append(net.flat() * seen, seen)
+        pieces = [flat[k: k + PIECE].tobytes() for k in range(0, len(flat), PIECE)]
+        task = [TaskContext.get().partitionId()] * len(pieces)
+        yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(pieces))]), pa.array(task, pa.int32()), pa.array(pieces, pa.binary())], names=["name", "task", "vector"])
 
     got = add_vectors(coded.select("classes").mapInArrow(run, "name string, task int, vector binary")).collect()
-    total = np.frombuffer(got[0]["vector"], dtype=np.float64) if got else np.zeros(1)
-    return total[:-1] / total[-1] if total[-1] > 0 else start
+    total = np.concatenate([np.zeros(0), *(np.frombuffer(r["vector"], dtype=np.float64) for r in sorted(got, key=lambda r: int(r["name"])))])
+    return total[:-1] / total[-1] if len(total) and total[-1] > 0 else start
 
 
 def log_probabilities(net: Network, documents: list[bytes], sizes: np.ndarray | None = None) -> np.ndarray:
@@ -255,8 +317,8 @@ def log_probabilities(net: Network, documents: list[bytes], sizes: np.ndarray |
     out = np.zeros(len(documents))
     for k in range(0, len(at), BATCH):
         part = at[k: k + BATCH]
-        _, logp = net.forward(Network.context(row, part))
-        out += np.bincount(owner[k: k + BATCH], weights=logp[np.arange(len(part)), row[part]].astype(np.float64) - less[row[part]], minlength=len(documents))
+        logp = net.log_prob(Network.context(row, part), row[part])
+        out += np.bincount(owner[k: k + BATCH], weights=logp.astype(np.float64) - less[row[part]], minlength=len(documents))
     return out
 
 

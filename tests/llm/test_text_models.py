@@ -139,17 +139,53 @@ def test_pseudo_likelihood_against_plain_loops():
     for p in net.parts:
         p += rng.normal(0, 0.3, p.shape).astype(np.float32)
     docs = [bytes(rng.integers(1, 128, n).astype(np.uint8)) for n in (0, 1, 5, 0, 30)]
-    tables, bias, matrix, out = (p.astype(float) for p in net.parts)
+    tables, bias, groups, group_bias, matrix, out = (p.astype(float) for p in net.parts)
+    size = out.shape[1]
+    assert groups.shape[1] * size == 128
     for d, got in zip(docs, language_model.log_probabilities(net, docs)):
         row = [0, 0, *d, 0, 0]
         want = 0.0
         for i in range(2, len(d) + 2):
             z = bias + sum(tables[k][row[i + p]] for k, p in enumerate((-2, -1, 1, 2)))
-            logits = np.tanh(z) @ matrix + out
-            want += logits[row[i]] - np.log(np.exp(logits).sum())
+            g, k = divmod(row[i], size)
+            for logits, at in ((np.tanh(z) @ groups + group_bias, g), (np.tanh(z) @ matrix[g] + out[g], k)):
+                want += logits[at] - np.log(np.exp(logits).sum())
         assert abs(got - want) < 1e-3 * max(1, abs(want))
 
 
+@pytest.mark.parametrize("classes", [128, 1024])
+def test_probabilities_of_all_classes_sum_to_one(classes):
+    net = language_model.Network(classes=classes)
+    assert (language_model.Network(net.flat()).flat() == net.flat()).all()
+    sides = [np.full(classes, k) for k in (3, 90, 7, 0)]
+    assert abs(np.exp(net.log_prob(sides, np.arange(classes)).astype(float)).sum() - 1) < 1e-5
+
+
+def test_a_step_of_learning_follows_the_slope():
+    """The change of every weight has the sign of the slope found by nudging it."""
+    rng, net = np.random.default_rng(4), language_model.Network()
+    context, target = [rng.integers(0, 128, 40) for _ in range(4)], rng.integers(1, 128, 40)
+
+    def loss(flat):
+        n = language_model.Network()
+        at = 0
+        for k, p in enumerate(n.parts):
+            n.parts[k] = flat[at: at + p.size].reshape(p.shape)
+            at += p.size
+        return -n.log_prob(context, target).mean()
+
+    before = net.flat()
+    net.learn(context, target)
+    change = net.flat() - before
+    for k in rng.choice(len(before), 300, replace=False):
+        up, down = before.copy(), before.copy()
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        slope = (loss(up) - loss(down)) / 2e-4
+        want = -language_model.RATE * slope / np.sqrt(0.01 + slope * slope)
+        assert abs(change[k] - want) < 1e-4 + 1e-2 * abs(want)
+
+
 def test_network_learns_both_sides():
     rng, net = np.random.default_rng(6), language_model.Network()
     orderly = bytes([1, 2, 3, 4, 5, 6]) * 700
