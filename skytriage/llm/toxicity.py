@@ -11,7 +11,7 @@ took no part in training the dictionaries, gives the score.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +41,11 @@ CHANCE_BYTES = 3
 N_FEATURES = 7
 #: Shorter matches than this are not worth a sequence; keeps chance fragments out of the margins.
 MIN_MATCH = 6
+#: Training texts that share this much of their words are copies.
+COPY_SHARE = 0.8
+#: What the dictionary trainer is given at least: bytes as a multiple of the dictionary's, and samples.
+TRAINER_SHARE = 8
+TRAINER_SAMPLES = 32
 FOLDS = 5
 HELD_FOLD = 0
 
@@ -117,14 +122,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on ``samples``; the samples themselves where they are too few to train on."""
-    whole = b"".join(samples)
-    if len(whole) > 8 * size and len(samples) >= 32:
-        try:
-            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return whole[:size]
+    """Content of a dictionary trained on ``samples``; each of them once where they fit ``size`` so.
+
+    Few samples are trained on several times over, since the trainer wants many times the
+    size of the dictionary; which parts of them it picks depends on all of them.
+    """
+    once = b"".join(dict.fromkeys(samples))
+    if len(once) <= size:
+        return once
+    times = max(-(-TRAINER_SHARE * size // sum(map(len, samples))), -(-TRAINER_SAMPLES // len(samples)))
+    try:
+        return zstandard.train_dictionary(size, samples * times, k=64, d=8).as_bytes()
+    except zstandard.ZstdError:  # samples of a few bytes each, which it cannot cut segments from
+        return once
 
 
 def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -142,11 +152,24 @@ def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def _distinct(texts: list[bytes]) -> list[bytes]:
-    """The first of the texts that share their two smallest word hashes: copies and near copies count once."""
-    first: dict[tuple[int, ...], bytes] = {}
-    for t in texts:
-        first.setdefault(tuple(sorted(zlib.crc32(w) for w in set(_WORD.findall(t)))[:2]), t)
-    return list(first.values())
+    """``texts`` without those whose words are, to ``COPY_SHARE`` of both together, the words of one kept before: near copies count once.
+
+    Two such texts share one of the rarest words of each, as many as a copy may lack and one
+    more, so only texts that do are compared.
+    """
+    sets = [frozenset(_WORD.findall(t)) for t in texts]
+    held = Counter(w for words in sets for w in words)
+    kept: list[bytes] = []
+    at: dict[bytes, list[frozenset[bytes]]] = {}
+    for t, words in zip(texts, sets):
+        rare = sorted(words, key=lambda w: (held[w], w))[: int(len(words) * (1 - COPY_SHARE) + 1e-9) + 1]
+        near = {other for w in rare for other in at.get(w, ()) if COPY_SHARE * len(words) <= len(other) <= len(words) / COPY_SHARE}
+        if any(len(words & other) >= COPY_SHARE * len(words | other) for other in near):
+            continue
+        for w in rare:
+            at.setdefault(w, []).append(words)
+        kept.append(t)
+    return kept
 
 
 def _dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:

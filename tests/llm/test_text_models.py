@@ -133,6 +133,31 @@ def test_frequent_leaks_stay_seeds(spark):
     assert decontaminate.leaks(frame, spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 300
 
 
+def test_training_copies_against_all_pairs():
+    rng = random.Random(8)
+    texts, usual = [], [f"w{k}" for k in range(60)]
+    for _ in range(150):
+        words = rng.sample(usual, rng.randint(0, 40))
+        texts.append(" ".join(words).encode())
+        for _ in range(rng.randint(0, 3)):
+            texts.append(" ".join(rng.choice(usual) if rng.random() < 0.08 else w for w in words).encode())
+    want = []
+    for t in texts:
+        words = set(t.split())
+        if not any(words and len(words & set(o.split())) >= 0.8 * len(words | set(o.split())) for o in want):
+            want.append(t)
+    assert toxicity._distinct(texts) == want and 150 < len(want) < len(texts)
+
+
+def test_small_dictionaries_hold_words_of_all_samples():
+    words = [f"vile{k:03d}" for k in range(40)]
+    samples = [f" {words[k % 40]} {words[k * 7 % 40]} ".encode() for k in range(400)]
+    content = toxicity._trained(samples, 2048)
+    assert len(b"".join(samples)) > 2048 and all(w.encode() in content for w in words)
+    assert toxicity._trained(samples[:3], 2048) == b"".join(samples[:3]) and toxicity._trained([], 2048) == b""
+    assert toxicity._trained([b" a "] * 1000, 2048) == b" a "
+
+
 def test_pseudo_likelihood_against_plain_loops():
     rng = np.random.default_rng(1)
     net = language_model.Network()
