@@ -41,7 +41,8 @@ def fit_motion_arm(tracks: DataFrame, seed: int = 1337, max_iter: int = 200, lea
 
     The default is a forest of ``max_iter`` trees, which knows any number of classes and
     gives each a probability. ``boosted`` gives as many rounds of boosted trees; these are
-    binary in Spark, so classes are told apart one against the rest, without probabilities.
+    binary in Spark, so classes are told apart one against the rest, and the probabilities
+    that ``predict`` gives are those of the binary models, scaled to a sum of one.
     ``tracks`` has ``label, source_clip`` and the nine features.
     """
     report = fit_gate(tracks)
@@ -52,13 +53,18 @@ def fit_motion_arm(tracks: DataFrame, seed: int = 1337, max_iter: int = 200, lea
 
 
 def predict(model: PipelineModel, tracks: DataFrame) -> DataFrame:
-    """Tracks with ``predicted``; with a forest also ``probability``, a map by class, and ``confidence``, its largest value."""
+    """Tracks with ``predicted``, ``probability``, a map by class, and ``confidence``, its largest value."""
     out = model.transform(tracks)
-    if "probability" in out.columns:
-        labels = model.stages[0].labels
+    labels = model.stages[0].labels
+    if "probability" not in out.columns:  # margins of each class against the rest; boosting fits half the log-odds
+        alone = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        out = out.withColumn("_alone", alone)
+        total = F.aggregate("_alone", F.lit(0.0), lambda a, x: a + x)
+        p = F.transform("_alone", lambda x: x / total)
+    else:
         p = F.slice(vector_to_array("probability"), 1, len(labels))
-        out = out.withColumn("probability", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p)).withColumn(
-            "confidence", F.array_max(F.map_values("probability")))
+    out = out.withColumn("probability", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p)).withColumn(
+        "confidence", F.array_max(F.map_values("probability"))).drop("_alone")
     return out.drop("inputs", "rawPrediction", "target", "prediction")
 
 

@@ -1,5 +1,7 @@
 """Gates, refusals and grouped validation of the motion classifier; labels and streams of runs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,16 @@ def test_late_rows_are_counted_and_kept(spark, tmp_path):
         kept.setdefault(r.batch, []).append(r.n)
     assert counts == {k: (len(parts[k]), len(v)) for k, v in want.items()}
     assert {k: sorted(v) for k, v in kept.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_boosted_trees_give_probabilities_of_every_class(spark):
+    rng = random.Random(12)
+    rows = [(k, "abc"[k % 3], f"c{k % 4}", *[k % 3 + rng.random() / 2 if f == FEATURES[0] else rng.random() for f in FEATURES]) for k in range(90)]
+    t = spark.createDataFrame(rows, "track_id bigint, label string, source_clip string, " + ", ".join(f"{f} double" for f in FEATURES))
+    model, _ = classify.fit_motion_arm(t, max_iter=5, learner="boosted")
+    out = classify.predict(model, t).collect()
+    assert len(out) == 90 and all(r["predicted"] == r["label"] for r in out)
+    for r in out:
+        assert set(r["probability"]) == set("abc") and abs(sum(r["probability"].values()) - 1) < 1e-9
+        assert r["confidence"] == r["probability"][r["predicted"]] > 0.5
+    assert set(out[0].asDict()) == {*t.columns, "predicted", "probability", "confidence"}
